@@ -1,0 +1,86 @@
+"""The scan against a plain search for windows of words."""
+
+import hashlib
+import random
+import re
+
+from lodestone.llm import decontamination as D
+from lodestone.llm import registry
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def words(text):
+    return WORD.findall((text or "").translate(lower))
+
+
+def brute(docs, items, size=13):
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        n = min(size, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    out = []
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= own
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS n_words", "'x' AS spans"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def cases():
+    rng = random.Random(5)
+    vocabulary = ["Un", "deux", "ÉTÉ", "x9", "z", "Über", "9"]
+    say = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choices(vocabulary, k=n))
+    items = [(k, say(rng.choice([1, 4, 13, 14, 30]) + 2)) for k in range(12)] + [(50, None), (51, "..."), (52, "one two"), (53, "ONE-TWO"), (10, say(20))]
+    docs = [(k, say(rng.randrange(40))) for k in range(60)]
+    docs += [(100 + k, say(9) + " " + items[k % 12][1].upper() + " " + say(200 * (k % 2))) for k in range(24)]
+    docs += [(200, None), (201, ""), (202, "?!"), (203, "a one, two b " * 500), (203, "a one, two b " * 500), (None, "one two"), (204, "onetwo " * 3)]
+    return docs, items
+
+
+def test_scan_and_blocks(spark):
+    docs, items = cases()
+    a, b = frames(spark, docs, items)
+    want = brute(docs, items)
+    for block in (D.BLOCK_BYTES, 400):
+        got = D.digest(D.scan(a, b, block_bytes=block)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert sum(r[-1] for r in want) > 10
+
+
+def test_remove(spark):
+    docs, items = cases()
+    a, b = frames(spark, docs, items)
+    clean = [r[0] for r in brute(docs, items) if not r[-1]]
+    for block in (D.BLOCK_BYTES, 400):
+        kept = D.remove(a, b, block_bytes=block)
+        assert kept.columns == a.columns
+        assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(clean, key=repr)
+        cut = {r.doc_id: r.text for r in D.remove(a, b, "spans", block_bytes=block).collect()}
+        assert len(cut) == len({d for d, _ in docs}) and cut[200] is None and cut[201] == ""
+        assert words(cut[203]) == ["a", "b"] * 500
+
+
+def test_empty(spark):
+    docs, items = cases()
+    a, b = frames(spark, docs, items)
+    assert D.scan(a.limit(0), b).count() == 0
+    assert {r.n_hit for r in D.scan(a, b.limit(0)).collect()} == {0}
+
+
+def test_query_against_brute_force(spark):
+    root = "/root/testdata/sf0.001"
+    plain = lambda t, k: [(r[k], r.text) for r in spark.read.parquet(f"{root}/{t}.parquet").collect()]
+    got = registry.op8_decontamination(spark, root).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(plain("documents", "doc_id"), plain("benchmark", "item_id"))
