@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontamination
+from lodestone.llm import bpe, decontamination, minhash
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, root, "documents"), percent=85)
+
+
 def op2_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.round_trip(_table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -23,6 +27,7 @@ def op8_decontamination(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op8_decontamination": op8_decontamination,
 }

@@ -1,0 +1,133 @@
+"""Groups against all pairs of sets; signatures against the sets' true similarity."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lodestone.llm import components as C
+from lodestone.llm import minhash as M
+from lodestone.llm import registry
+from lodestone.llm.shared import Scratch
+from lodestone.llm.textbytes import SPACE_SPLIT, Words, utf8
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def shingles(text, k=5):
+    w = WORD.findall((text or "").translate(lower))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def roots(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def brute(docs, percent):
+    sets = {d: shingles(t) for d, t in docs}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    pairs = {(a, b) for own in holders.values() for a in own for b in own if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    root = roots(sets, links)
+    return sorted((d, len(sets[d]), root[d], root[d] == d) for d, _ in docs)
+
+
+def result(frame):
+    return sorted(tuple(r) for r in frame.select("doc_id", "n_shingles", "component_id", "kept").collect())
+
+
+def family(rng, words, size, edits):
+    base = rng.choices(words, k=size)
+    out = []
+    for _ in range(rng.randrange(2, 9)):
+        copy = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            copy[rng.randrange(size)] = rng.choice(words)
+        out.append(rng.choice([" ", "\n", "\t "]).join(copy))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_groups(spark, percent, monkeypatch):
+    monkeypatch.setattr(M, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(M, "BLOCK", 3)
+    monkeypatch.setattr(M, "SALT_ROWS", 2)
+    rng = random.Random(percent)
+    words = ["w%d" % i for i in range(300)] + ["Éa", "B"]
+    texts = [t for _ in range(12) for t in family(rng, words, rng.choice([4, 12, 60, 300]), 3)]
+    texts += ["", None, " \n", "one", "ONE", "one two", "a b c d e", "a b c d e f", "a b c d e f"]
+    texts += [" ".join(rng.choices(words, k=9000))] * 2
+    docs = [(7 * k + 3, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string").selectExpr("*", "'x' AS sig", "0 AS n")
+    assert result(M.near_duplicates(frame, percent)) == sorted([*(want := brute(docs, percent)), want[0]])
+
+
+def test_null_ids_and_empty(spark):
+    frame = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (6, "x"), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, M.near_duplicates(frame).collect()), key=repr)
+    assert got == sorted([(None, 2, None, True), (5, 2, 5, True), (6, 1, 6, True), (None, 0, None, True)], key=repr)
+    assert M.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    root = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+    assert result(registry.op1_minhash_dedup(spark, root)) == brute(docs, 85)
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    for size in (3, 40, 900):
+        errors = []
+        for _ in range(40):
+            both, own = pool[: size // 3], rng.permutation(pool[size // 3 :])
+            a, b = np.concatenate([both, own[:size]]), np.concatenate([both, own[size : 2 * size]])
+            s = M.superminhash(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 100)
+            errors.append((s[0] == s[1]).mean() - len(both) / (len(both) + 2 * size))
+            pool = rng.permutation(pool)
+        assert abs(np.mean(errors)) < 0.02
+
+
+def test_signature_is_the_definition():
+    """Rank by rank over all sets gives what one element after the other gives."""
+    m, elements = 8, np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = M.superminhash(elements, np.array([0, 5]), m)[0]
+    each = np.stack([M.superminhash(elements[k : k + 1], np.array([0, 1]), m)[0] for k in range(5)])
+    assert (each.min(0) == whole).all()
+    assert all(sorted((row >> np.uint64(57)).tolist()) == list(range(m)) for row in each)
+
+
+def test_short_texts_are_one_shingle():
+    data, offsets = utf8(pa.array(["a b", None, "", "A  b", "a b c d e f g"]))
+    sets, first = M.shingle_sets(Words(data, offsets, SPACE_SPLIT), 5, 5)
+    assert np.diff(first).tolist() == [1, 0, 0, 1, 3] and sets[0] == sets[1]
+
+
+@pytest.mark.parametrize("block", [5, 200_000])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK_LINKS", block)
+    rng = random.Random(block)
+    links = [(k, k + 1) for k in range(100, 160)] + [(999, k) for k in range(200, 260)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(5, 5)]
+    nodes = {n for x in links for n in x}
+    want = {n: r for n, r in roots(nodes, links).items() if n != r}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = {r.node: r.root for r in C.components(frame, Scratch(spark, "test")).collect()}
+    assert got == want
+    assert C.components(frame.limit(0), Scratch(spark, "test")).count() == 0
