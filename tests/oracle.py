@@ -5,20 +5,19 @@ import math
 import os
 
 import duckdb
-import pandas as pd
 
 
-def rows(frame: pd.DataFrame) -> list:
-    plain = lambda v: None if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v) else round(v, 9) if isinstance(v, float) else v
-    frame = frame[sorted(frame.columns)]
-    return sorted((tuple(plain(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
+def rows(records: list[dict]) -> list:
+    plain = lambda v: round(v, 9) if isinstance(v, float) and not math.isnan(v) else v
+    return sorted((tuple(plain(r[k]) for k in sorted(r)) for r in records), key=repr)
 
 
 def same(spark, name, query, sql, root="/root/testdata/sf0.01"):
     db = duckdb.connect()
     for path in glob.glob(f"{root}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    got, want = query(spark, root).toPandas(), db.execute(sql).df()
-    assert sorted(got.columns) == sorted(want.columns), name
+    frame, want = query(spark, root), db.sql(sql)
+    assert sorted(frame.columns) == sorted(want.columns), name
+    got, want = frame.toArrow().to_pylist(), want.to_arrow_table().to_pylist()
     assert rows(got) == rows(want), name
     return got
