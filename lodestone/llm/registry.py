@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontamination, minhash
+from lodestone.llm import bpe, decontamination, minhash, warc
+from lodestone.llm.shared import Scratch
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op2_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.round_trip(_table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_warc(spark: SparkSession, root: str) -> DataFrame:
+    folder = Scratch(spark, "warc").root
+    warc.write(_table(spark, root, "pages"), folder)
+    return warc.pages(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(_table(spark, root, "documents"), _table(spark, root, "benchmark")))
 
@@ -29,7 +36,18 @@ def op8_decontamination(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+        r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM r
+    """,
+}
