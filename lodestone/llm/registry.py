@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, minhash, warc
+from lodestone.llm import bpe, decontamination, minhash, pii, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -33,11 +34,19 @@ def op8_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(_table(spark, root, "documents"), _table(spark, root, "benchmark")))
 
 
+def op10_pii(spark: SparkSession, root: str) -> DataFrame:
+    """The key is a stand-in: whoever runs this on real data passes a secret one."""
+    marked = pii.pseudonymise(_table(spark, root, "documents"), key="not a secret")
+    count = lambda *kinds: sum((F.coalesce(F.col("pii_counts")[k], F.lit(0)) for k in kinds), F.lit(0))
+    return marked.select("doc_id", "text", count(*pii.PATTERNS).alias("n_values"), count("date").alias("n_dates"), count("email").alias("n_emails"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
