@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, minhash, pii, warc
+from lodestone.llm import bpe, decontamination, langid, minhash, pii, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -24,6 +24,13 @@ def op2_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.round_trip(_table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.fit(docs.filter(part != 2))
+    return langid.predict(docs, model).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, root: str) -> DataFrame:
     folder = Scratch(spark, "warc").root
     warc.write(_table(spark, root, "pages"), folder)
@@ -44,6 +51,7 @@ def op10_pii(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_language_id": op4_language_id,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op10_pii": op10_pii,
