@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, langid, minhash, pii, warc
+from lodestone.llm import bpe, decontamination, langid, maintext, minhash, pii, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -41,6 +41,10 @@ def op8_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(_table(spark, root, "documents"), _table(spark, root, "benchmark")))
 
 
+def op9_main_text(spark: SparkSession, root: str) -> DataFrame:
+    return maintext.extract(_table(spark, root, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_pii(spark: SparkSession, root: str) -> DataFrame:
     """The key is a stand-in: whoever runs this on real data passes a secret one."""
     marked = pii.pseudonymise(_table(spark, root, "documents"), key="not a secret")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
 }
 
