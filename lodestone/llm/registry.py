@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, langid, maintext, minhash, pii, warc
+from lodestone.llm import bpe, decontamination, embeddings, langid, maintext, minhash, pii, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, root, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, root: str) -> DataFrame:
     folder = Scratch(spark, "warc").root
     warc.write(_table(spark, root, "pages"), folder)
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_language_id": op4_language_id,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op9_main_text": op9_main_text,
@@ -63,6 +68,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+            (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id, vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept
+        FROM v
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),

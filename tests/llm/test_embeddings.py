@@ -1,0 +1,67 @@
+"""Links against all cosines, in one cell and in many, in one block and in many."""
+
+import math
+
+import numpy as np
+import pytest
+
+from lodestone.llm import embeddings as E
+from lodestone.llm import registry
+from tests.llm.test_minhash import roots
+from tests.oracle import same
+
+
+def brute(vectors, least=0.95):
+    good = {}
+    for i, v in vectors.items():
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            a = np.array(v, np.float64)
+            good[i] = a / np.sqrt(a @ a)
+    n, links = dict.fromkeys(vectors, 0), []
+    for i in good:
+        for j in good:
+            if i != j and len(good[i]) == len(good[j]) and good[i] @ good[j] >= least:
+                n[i] += 1
+                links.append((i, j))
+    root = roots([i for i in vectors if i is not None], links)
+    return sorted(((i, n[i], root.get(i), i is None or root[i] == i) for i in vectors), key=str)
+
+
+def groups(rng, dim=16):
+    out, k = {}, 0
+    for _ in range(25):
+        base = rng.normal(size=dim)
+        for _ in range(int(rng.integers(1, 12))):
+            out[(k := k + 3)] = [float(x) for x in np.float32(base + rng.normal(size=dim) * rng.choice([0.01, 0.15, 0.3]))]
+    for i in list(out)[:40:2]:
+        out[i + 1] = out[i]
+    return out
+
+
+ODD = {900: None, 901: [], 902: [0.0] * 16, 903: [None] + [1.0] * 15, 904: [float("nan")] * 16, 905: [float("inf")] + [1.0] * 15, 906: [1.0, 0.0], 907: [2.0, 0.0], 908: [-1.0, 0.0], None: [1.0] * 16, 910: [3.0] * 16}
+
+
+@pytest.mark.parametrize("cells, block, exact", [(1, 1024, False), (6, 5, True), (20, 1024, True), (6, 1024, False)])
+def test_links(spark, monkeypatch, cells, block, exact):
+    monkeypatch.setattr(E, "BLOCK", block)
+    vectors = groups(np.random.default_rng(cells)) | ODD
+    rows = [*vectors.items(), next(iter(vectors.items()))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rep", "'x' AS n")
+    got = sorted(map(tuple, E.near_duplicates(frame, cells=cells, exact=exact).collect()), key=str)
+    assert got == brute(vectors)
+
+
+def test_empty(spark):
+    frame = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
+    assert list(map(tuple, E.near_duplicates(frame).collect())) == [(1, 0, 1, True)]
+    assert E.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_against_sql(spark):
+    same(spark, "op6", registry.op6_embedding_dedup, registry.ORACLE["op6_embedding_dedup"])
+
+
+def test_query_against_brute_force(spark):
+    root = "/root/testdata/sf0.1"
+    vectors = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{root}/embeddings.parquet").collect()}
+    assert sorted(map(tuple, registry.op6_embedding_dedup(spark, root).collect()), key=str) == brute(vectors)
