@@ -3,9 +3,9 @@
 A task cuts the texts of a slice into the pattern's pieces, and replays the
 merges over the distinct pieces it has not met yet, all at once: an inverted
 index names for each rank the places where a pair with that rank stands, the
-lowest rank is applied at all its places in order, and only the neighbours of a
-changed place enter the index anew. A piece costs what its own merges cost,
-however long it is. Known pieces are kept up to a bound, then forgotten.
+lowest rank is applied at all its places at once, and only the neighbours of
+changed places enter the index anew. A piece costs what its own merges cost,
+however long it is. A worker keeps known pieces up to a bound, then forgets them.
 
 Nothing is shuffled. Defined cases: null and empty texts have no tokens; ids
 that the vocabulary lacks can't be decoded and raise ``ValueError``.
@@ -17,18 +17,19 @@ import base64
 import functools
 import hashlib
 import heapq
-import re
-from collections import defaultdict
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from lodestone.llm.textbytes import slices
 
 #: Bytes of pieces a task remembers before it starts afresh.
-KNOWN_BYTES = 32 << 20
+KNOWN_BYTES = 96 << 20
+#: Bytes of text whose new pieces are replayed together.
+SLICE = 8 << 20
 
 
 @functools.cache
@@ -38,91 +39,110 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@functools.cache
-def pieces_of(pattern: str):
-    """A function that gives the pieces of a text.
-
-    The standard library matches several times faster than ``regex``, but has
-    no Unicode properties, so each ``\\p{L}``, ``\\p{N}`` and ``\\s`` is
-    written out as the ranges of code points that ``regex`` gives it.
-    """
-    import regex
-
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-
-    def ranges(prop: str) -> str:
-        runs = [m[0] for m in regex.finditer(f"{prop}+", every)]
-        return "".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in runs)
-
-    spelled = {"L": ranges(r"\p{L}"), "N": ranges(r"\p{N}"), "s": ranges(r"\p{White_Space}")}
-    out, inside = [], False
-    for token in re.findall(r"\\p\{.\}|\\.|.", pattern, re.S):
-        name = {"\\p{L}": "L", "\\p{N}": "N", "\\s": "s", "\\S": "S"}.get(token)
-        inside = token == "[" or inside and token != "]"
-        if name == "S":
-            out.append("[^" + spelled["s"] + "]")
-        elif name:
-            out.append(spelled[name] if inside else "[" + spelled[name] + "]")
-        else:
-            out.append(token)
-    return re.compile("".join(out)).findall
-
-
-def replay(words: list[bytes], vocabulary: dict[bytes, int]) -> list[list[int]]:
-    """The token ids of each word."""
-    data = b"".join(words)
-    tokens: list = [data[k : k + 1] for k in range(len(data))]
-    after = list(range(1, len(data) + 1))
-    before = list(range(-1, len(data) - 1))
-    at = 0
-    for word in words:
-        if word:
-            before[at] = -1
-            at += len(word)
-            after[at - 1] = -1
-    index: dict[int, list[int]] = defaultdict(list)
-    get = vocabulary.get
-    for k, right in enumerate(after):
-        if right >= 0 and (rank := get(tokens[k] + tokens[right])) is not None:
-            index[rank].append(k)
-    waiting = list(index)
-    heapq.heapify(waiting)
+class Vocabulary:
+    """A rank file's tokens, and for each pair of tokens that a merge joins the rank of the result."""
+
+    def __init__(self, path: str):
+        tokens = ranks(path)
+        self.bytes_of: list[bytes | None] = [None] * (max(tokens.values()) + 1)
+        for token, rank in tokens.items():
+            self.bytes_of[rank] = token
+        self._width = np.int64(len(self.bytes_of))
+        self.byte_ids = np.array([tokens[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in tokens.items():
+            for k in range(1, len(token)):
+                left, right = tokens.get(token[:k]), tokens.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left * int(self._width) + right] = rank
+        self._keys = np.array(sorted(pairs), np.int64)
+        self._ranks = np.array([pairs[k] for k in self._keys.tolist()], np.int64)
+        self.lengths = np.array([-1 if t is None else len(t) for t in self.bytes_of])
+        self.pool = np.frombuffer(b"".join(t or b"" for t in self.bytes_of), np.uint8)
+        self.starts = np.cumsum(np.maximum(self.lengths, 0)) - np.maximum(self.lengths, 0)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 for a pair that no merge joins."""
+        key = left * self._width + right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[at] == key, self._ranks[at], -1)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that the ids stand for."""
+        if len(ids) and (ids.max() >= len(self.lengths) or (self.lengths[ids] < 0).any()):
+            raise ValueError("an id stands for no token")
+        size = self.lengths[ids]
+        place = np.repeat(self.starts[ids] - (np.cumsum(size) - size), size)
+        return self.pool[place + np.arange(len(place))].tobytes()
+
+
+def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
+    """The token ids of each word (none of them empty), as little-endian unsigned 32-bit integers."""
+    if not words:
+        return []
+    data = vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    token, after, before = data.copy(), np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+    after[ends - 1], before[starts] = -1, -1
+    rank = np.full(len(data), -1)
+    pairs = np.flatnonzero(after >= 0)
+    rank[pairs] = vocabulary.rank(token[pairs], token[pairs + 1])
+
+    # The inverted index: the places where a pair with a rank stands, or stood when it was entered.
+    pairs = pairs[rank[pairs] >= 0]
+    pairs = pairs[np.argsort(rank[pairs], kind="stable")]
+    waiting, first = np.unique(rank[pairs], return_index=True)
+    waiting = waiting.tolist()
+    index = {r: part.tolist() for r, part in zip(waiting, np.split(pairs, first[1:]), strict=True)} if waiting else {}
     while waiting:
-        rank = heapq.heappop(waiting)
-        for k in sorted(index.pop(rank, ())):
-            left = tokens[k]
-            if left is None or (right := after[k]) < 0:
-                continue
-            merged = left + tokens[right]
-            if get(merged) != rank:
-                continue
-            tokens[k], tokens[right] = merged, None
-            after[k] = beyond = after[right]
-            if beyond >= 0:
-                before[beyond] = k
-                if (new := get(merged + tokens[beyond])) is not None:
-                    if new not in index:
-                        heapq.heappush(waiting, new)
-                    index[new].append(k)
-            if (prior := before[k]) >= 0 and (new := get(tokens[prior] + merged)) is not None:
-                if new not in index:
-                    heapq.heappush(waiting, new)
-                index[new].append(prior)
-    out, at = [], 0
-    for word in words:
-        out.append([vocabulary[t] for t in tokens[at : at + len(word)] if t is not None])
-        at += len(word)
-    return out
+        now = heapq.heappop(waiting)
+        at = np.array(index.pop(now))
+        at = np.unique(at[rank[at] == now])
+        if not len(at):
+            continue
+        right = after[at]
+        near = np.searchsorted(at, right)
+        if (at[np.minimum(near, len(at) - 1)] == right).any():  # pairs that share a token: the left one goes first
+            taken, kept = set(), []
+            for p, q in zip(at.tolist(), right.tolist(), strict=True):
+                if p not in taken:
+                    kept.append(p)
+                    taken.add(q)
+            at = np.array(kept)
+            right = after[at]
+        beyond = after[right]
+        token[at], token[right], rank[right] = now, -1, -1
+        after[at] = beyond
+        inner = beyond >= 0
+        before[beyond[inner]] = at[inner]
+        rank[at] = -1
+        touched = np.concatenate([at[inner], before[at]])
+        touched = touched[touched >= 0]
+        new = vocabulary.rank(token[touched], token[after[touched]])
+        rank[touched] = new
+        for r, p in zip(new.tolist(), touched.tolist(), strict=True):
+            if r >= 0:
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
+                    heapq.heappush(waiting, r)
+    alive = token >= 0
+    ids = token[alive].astype("<u4").tobytes()
+    last = (np.cumsum(alive)[ends - 1] * 4).tolist()
+    return [ids[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
 
 
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers; and back."""
 
     def __init__(self, path: str, pattern: str):
-        self._ranks, self._pieces = ranks(path), pieces_of(pattern)
+        self._vocabulary = Vocabulary(path)
+        self._pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self._known: dict[str, bytes] = {}
         self._size = 0
-        self._bytes = {rank: token for token, rank in self._ranks.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
@@ -131,17 +151,19 @@ class Encoder:
             self._known.clear()
             self._size, new = 0, set().union(*cut)
         new = list(new)
-        for piece, ids in zip(new, replay([p.encode() for p in new], self._ranks), strict=True):
-            self._known[piece] = np.array(ids, "<u4").tobytes()
-            self._size += 150 + 8 * len(piece)
+        self._known.update(zip(new, replay([p.encode() for p in new], self._vocabulary), strict=True))
+        self._size += sum(200 + 8 * len(p) for p in new)
         known = self._known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        try:
-            return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        except KeyError as error:
-            raise ValueError(f"no token has the id {error}") from None
+        return self._vocabulary.decode(np.frombuffer(ids, "<u4").astype(np.int64))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder per Python worker, which keeps what it knows from task to task."""
+    return Encoder(path, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,9 +171,9 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     narrow = docs.select(key, text)
 
     def run(batches):
-        encoder = Encoder(path, pattern)
-        for rows, _, _ in slices(batches, text):
-            ids = encoder.encode([t or "" for t in rows.column(text).to_pylist()])
+        coder = encoder(path, pattern)
+        for rows, _, _ in slices(batches, text, SLICE):
+            ids = coder.encode([t or "" for t in rows.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(ids, pa.binary())], [key, "ids"])
 
     return narrow.mapInArrow(run, f"{key} {narrow.schema[key].dataType.simpleString()}, ids binary")
@@ -162,9 +184,9 @@ def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids:
     narrow = tokens.select(key, ids)
 
     def run(batches):
-        encoder = Encoder(path, pattern)
+        coder = encoder(path, pattern)
         for rows in batches:
-            raw = [None if x is None else encoder.decode(x) for x in rows.column(ids).to_pylist()]
+            raw = [None if x is None else coder.decode(x) for x in rows.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(raw, pa.binary())], [key, "text"])
 
     return narrow.mapInArrow(run, f"{key} {narrow.schema[key].dataType.simpleString()}, text binary")
@@ -176,10 +198,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values])
 
     def run(batches: Iterable[pa.RecordBatch]):
-        encoder = Encoder(path, pattern)
-        for rows, _, _ in slices(batches, text):
-            ids = encoder.encode([t or "" for t in rows.column(text).to_pylist()])
-            columns = [rows.column(key), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(map(encoder.decode, ids))]
+        coder = encoder(path, pattern)
+        for rows, _, _ in slices(batches, text, SLICE):
+            ids = coder.encode([t or "" for t in rows.column(text).to_pylist()])
+            columns = [rows.column(key), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(map(coder.decode, ids))]
             yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return narrow.mapInArrow(run, f"{key} {narrow.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
