@@ -13,7 +13,8 @@ nothing. Two documents are linked if 100 * |intersection| >= percent * |union|.
    rarely are left out, the others are verified on their full sets.
 4. Verified links are united. Where a bucket still holds several components,
    the pairs between different ones are tried too: buckets of up to
-   ``SMALL_BUCKET`` classes by a join, larger ones block against block. Pairs
+   ``SMALL_BUCKET`` classes by a join, larger ones block against block, where
+   tasks verify on the spot and return only links that join components. Pairs
    within a component need no test, so nothing is lost and a large group of
    copies is never expanded into pairs.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.shared import Scratch
-from lodestone.llm.textbytes import SPACE_SPLIT, Words, mix, slices
+from lodestone.llm.textbytes import SPACE_SPLIT, Words, mix, slices, utf8
 
 K = 5
 PERCENT = 80
@@ -145,23 +146,43 @@ def _alike(least: int):
     return run
 
 
-def _across(least: int, percent: int):
-    """Pairs of two blocks of a bucket that may be linked and are in different components."""
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes are similar enough."""
+    if not len(one) or not len(two):
+        return False
+    at = np.searchsorted(one, two)
+    both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _across(least: int, percent: int, k: int):
+    """Links between two blocks of a bucket that join different components, verified on the spot.
+
+    At most one link less than there are components comes out, however many
+    pairs are alike.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
         side, i, j = table.column("side").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
+        data, offsets = utf8(table.column("t").combine_chunks())
+        sets, first = shingle_sets(Words(data, offsets, SPACE_SPLIT), len(ids), k)
+        mine = lambda d: sets[first[d] : first[d + 1]]
+        comp = np.unique(comp, return_inverse=True)[1]
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         out = []
         for x in left.tolist():
-            ok = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= percent * np.maximum(n[right], n[x]))]
+            near = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= percent * np.maximum(n[right], n[x]))]
             if i == j:
-                ok = ok[ids[ok] > ids[x]]
-            ok = ok[(sig[ok] == sig[x]).sum(1) >= least]
-            out.append(np.stack([np.minimum(ids[ok], ids[x]), np.maximum(ids[ok], ids[x])], 1))
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+                near = near[ids[near] > ids[x]]
+            agree = (sig[near] == sig[x]).sum(1)
+            for y in near[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())].tolist():
+                if comp[y] != comp[x] and _linked(mine(x), mine(y), percent):
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    comp[comp == comp[y]] = comp[x]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -178,11 +199,8 @@ def _verifier(text: str, k: int, percent: int):
                 mine = sets[first[d] : first[d + 1]]
                 if a == b:
                     hub, own = a, mine.copy()
-                elif a == hub and len(mine) and len(own):
-                    at = np.searchsorted(own, mine)
-                    both = int((own[np.minimum(at, len(own) - 1)] == mine).sum())
-                    if 100 * both >= percent * (len(own) + len(mine) - both):
-                        found.append(d)
+                elif a == hub and _linked(own, mine, percent):
+                    found.append(d)
             yield rows.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
     return run
@@ -233,15 +251,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, bands:
     few = open_.filter(F.col("size") <= SMALL_BUCKET)
     one, two = few.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("c1")), few.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("c2"))
     small = likely(one.join(two.hint("merge"), "bucket").filter("a < b AND c1 <> c2").select("a", "b").distinct())
-    many = open_.filter(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("rep"), "blocks"))
-    many = many.join(reps.hint("merge"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.select("bucket", "rep", "n", "comp", "sig", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    large = many.groupBy("bucket", "i", "j").applyInArrow(_across(least, percent), "a long, b long").distinct()
-    more = scratch.write(small.unionByName(large).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "open-pairs")
-    if more.head(1):
-        found = scratch.write(verify(more, docs, key, text, k, percent), "open-links")
-        if found.head(1):
-            united = components(links.unionByName(found), scratch)
+    more = scratch.write(small.join(tried.hint("merge"), ["a", "b"], "left_anti"), "open-pairs")
+    found = [verify(more, docs, key, text, k, percent)] if more.head(1) else []
+    crowded = open_.filter(F.col("size") > SMALL_BUCKET)
+    if crowded.head(1):
+        own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(crowded.select("rep").distinct().hint("merge"), "rep").join(reps.hint("merge"), "rep").groupBy("rep").agg(*[F.any_value(c).alias(c) for c in ("n", "sig", "t")])
+        dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        many = dealt.select("bucket", "rep", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(own.hint("merge"), "rep")
+        found.append(many.groupBy("bucket", "i", "j").applyInArrow(_across(least, percent, k), "a long, b long"))
+    if found:
+        new = scratch.write(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "open-links")
+        if new.head(1):
+            united = components(links.unionByName(new), scratch)
     scratch.drop(starred, open_)
 
     whole = classes.join(united.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
