@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, embeddings, langid, maintext, minhash, pii, warc
+from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, pii, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.round_trip(_table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return lines.counts(_table(spark, root, "documents"))
+
+
 def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -59,6 +63,7 @@ def op10_pii(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_warc": op7_warc,
