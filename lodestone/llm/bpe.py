@@ -192,8 +192,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids:
     return narrow.mapInArrow(run, f"{key} {narrow.schema[key].dataType.simpleString()}, text binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256``: encoding and decoding of each text, digested where it is made."""
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for: encoding and decoding of each text, digested where it is made."""
     narrow = docs.select(key, text)
     sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values])
 
@@ -202,6 +202,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         for rows, _, _ in slices(batches, text, SLICE):
             ids = coder.encode([t or "" for t in rows.column(text).to_pylist()])
             columns = [rows.column(key), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(map(coder.decode, ids))]
-            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return narrow.mapInArrow(run, f"{key} {narrow.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow.mapInArrow(run, f"{key} {narrow.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

@@ -1,0 +1,57 @@
+"""Each stage against the operators' brute-force versions, on its own input, and the whole run."""
+
+import hashlib
+
+import public_tokenizers as P
+import tiktoken
+
+import corpus_pipeline
+from lodestone.llm import bpe
+from tests.llm import test_decontamination, test_lines, test_minhash
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def table(spark, root, name, key):
+    return [(r[key], r.text) for r in spark.read.parquet(f"{root}/{name}.parquet").collect()]
+
+
+def test_stages(spark):
+    root = "/root/testdata/sf0.001"
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_dedup", "decontamination", "byte_bpe"]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    odd = spark.createDataFrame([(9001, None, "en", "s", None), (9002, "123 !?", None, "s", 6), (9003, "The the and of the", None, None, 18)], docs.schema)
+    docs = docs.unionByName(odd).cache()
+    told = stages["language_id"](spark, docs, root).cache()
+    assert told.columns == COLUMNS and {r.doc_id for r in docs.collect()} - {r.doc_id for r in told.collect()} == {9001, 9002}
+
+    plain = [(r.doc_id, r.text) for r in told.collect()]
+    cut = stages["line_dedup"](spark, told, root).cache()
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    want = {r[0]: r[3] for r in test_lines.brute_quick(plain, {x for _, t in plain for x in t.split("\n") if len(x) >= 30})}
+    assert cut.columns == COLUMNS and all(hashlib.sha256(t.encode()).hexdigest() == want[d] for d, t in texts.items())
+    empty = {hashlib.sha256(x).hexdigest() for x in (b"", b"\n", b" ")}
+    assert all(want[d] in empty for d in {d for d, _ in plain} - set(texts)) and all(r.n_chars == len(r.text) for r in cut.collect())
+
+    unique = stages["minhash_dedup"](spark, cut, root).cache()
+    assert unique.columns == COLUMNS and {r.doc_id for r in unique.collect()} == {d for d, _, _, kept in test_minhash.brute(list(texts.items()), 80) if kept}
+
+    clean = stages["decontamination"](spark, unique, root).cache()
+    judged = test_decontamination.brute([(r.doc_id, r.text) for r in unique.collect()], table(spark, root, "benchmark", "item_id"))
+    assert clean.columns == COLUMNS and {r.doc_id for r in clean.collect()} == {r[0] for r in judged if not r[-1]}
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    final = {r.doc_id: r for r in stages["byte_bpe"](spark, clean, root).collect()}
+    for r in clean.collect():
+        ids = library.encode_ordinary(r.text)
+        assert final[r.doc_id].n_tokens == len(ids) and final[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    assert len(final) == clean.count()
+
+
+def test_run_and_empty(spark, tmp_path):
+    root = "/root/testdata/sf0.001"
+    assert corpus_pipeline.run(spark, root).count() > 100
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"{root}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
