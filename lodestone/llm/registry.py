@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, pii, warc
+from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, pii, repeats, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -35,6 +35,10 @@ def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_repeated_bytes(spark: SparkSession, root: str) -> DataFrame:
+    return repeats.remove(_table(spark, root, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, root, "embeddings"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
