@@ -77,7 +77,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
+_UPPER, _LOWER = ("".join(chr(c + k) for c in range(65, 91)) for k in (0, 32))
+_NOT_SPACE, _NOT_ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str, pattern: str) -> str:
+    """SQL for the words of a text in lower case, as a list."""
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
 ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_words("text", _NOT_SPACE)} AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS sh
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS MATERIALIZED (
+            SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+            JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * common >= 85 * (x.n + y.n - common)
+        ),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        root AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM root LEFT JOIN n USING (doc_id)
+    """,
     "op6_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         links AS MATERIALIZED (
@@ -97,4 +121,23 @@ ORACLE: dict[str, str] = {
             CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM r
     """,
+    "op8_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_words("text", _NOT_ALNUM)} AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text", _NOT_ALNUM)} AS w FROM benchmark),
+        known AS (
+            SELECT DISTINCT item, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s
+            FROM (SELECT item, w, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p FROM i WHERE len(w) > 0)
+        ),
+        hits AS (
+            SELECT doc_id, p, k, item FROM (
+                SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s
+                FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM known) WHERE len(w) >= k)
+            ) JOIN known USING (k, s)
+        ),
+        words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }

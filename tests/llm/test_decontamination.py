@@ -6,6 +6,7 @@ import re
 
 from lodestone.llm import decontamination as D
 from lodestone.llm import registry
+from tests.oracle import same
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -84,3 +85,7 @@ def test_query_against_brute_force(spark):
     plain = lambda t, k: [(r[k], r.text) for r in spark.read.parquet(f"{root}/{t}.parquet").collect()]
     got = registry.op8_decontamination(spark, root).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert sorted(map(tuple, got.collect()), key=repr) == brute(plain("documents", "doc_id"), plain("benchmark", "item_id"))
+
+
+def test_against_sql(spark):
+    same(spark, "op8_decontamination", registry.QUERIES["op8_decontamination"], registry.ORACLE["op8_decontamination"])

@@ -12,6 +12,7 @@ from lodestone.llm import minhash as M
 from lodestone.llm import registry
 from lodestone.llm.shared import Scratch
 from lodestone.llm.textbytes import SPACE_SPLIT, Words, utf8
+from tests.oracle import same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -131,3 +132,7 @@ def test_components(spark, monkeypatch, block):
     got = {r.node: r.root for r in C.components(frame, Scratch(spark, "test")).collect()}
     assert got == want
     assert C.components(frame.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_against_sql(spark):
+    same(spark, "op1_minhash_dedup", registry.QUERIES["op1_minhash_dedup"], registry.ORACLE["op1_minhash_dedup"])
