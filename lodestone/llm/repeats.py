@@ -337,8 +337,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "
 
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(key, text).mapInArrow(_named(text, [key]), f"`{key}` {kind}, `{text}` string, t long, size long")
-    # Of equal texts one is enough; which one doesn't matter.
-    having = named.select("t", "size", text).join(by_text.hint("merge"), ["t", "size"]).dropDuplicates(["t", "size"])
+    # Of equal texts one is enough, and tasks drop the others before the shuffle; which one doesn't matter.
+    having = named.select("t", "size", text).dropDuplicates(["t", "size"]).join(by_text.hint("merge"), ["t", "size"])
     cut = having.mapInArrow(_cut(text), "anchor long, t long, size long, first long, piece binary")
     crowds = scratch.write(sizes.filter(F.col("kinds") > CROWD).select("anchor"), "crowds")
     some = crowds.head(1)
