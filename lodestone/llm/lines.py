@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.shared import Scratch
-from lodestone.llm.textbytes import mix, slices
+from lodestone.llm.textbytes import mix, powers, slices
 
 EDITS = 2
 MIN_CHARS = 30
@@ -41,7 +41,6 @@ SMALL_BUCKET = 16
 BLOCK = 512
 #: Rows of hashes that are broadcast at most.
 BROADCAST_ROWS = 500_000
-_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LINES_PER_BATCH = 20_000
 
 
@@ -62,17 +61,17 @@ class Lines:
         self.text = [x for ls in split for x in ls if len(x) >= least]
         self.size = np.fromiter(map(len, self.text), np.int64, len(self.text))
         self.start = np.cumsum(self.size) - self.size
-        codes = np.frombuffer("".join(self.text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        self._sums, self._down = [], []
-        for factor in _FACTORS:
-            up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(codes), f, np.uint64)])) for f in (factor, pow(factor, -1, 1 << 64)))
-            self._sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[:-1])]))
-            self._down.append(down)
+        self.codes = np.frombuffer("".join(self.text).encode("utf-32-le", "surrogatepass"), "<u4")
+        self._sums: dict[int, np.ndarray] = {}
 
     def hash(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarray:
         """Hashes of the substrings at ``at`` of these lines."""
+        up, down = powers(len(self.codes) + 1)
+        if which not in self._sums:
+            codes = self.codes.astype(np.uint64) + np.uint64(1)
+            self._sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mix(codes) if which else codes) * up[:-1])])
         a = self.start[line] + at
-        return mix((self._sums[which][a + size] - self._sums[which][a]) * self._down[which][a] + size.astype(np.uint64))
+        return mix((self._sums[which][a + size] - self._sums[which][a]) * down[a] + size.astype(np.uint64))
 
     def whole(self, which: int = 0) -> np.ndarray:
         every = np.arange(len(self.text))
@@ -198,12 +197,19 @@ def _shared(batches):
         yield from passed(pa.Table.from_batches([rest])).to_batches()
 
 
-def _texts(text: str, least: int):
+def _texts(text: str, least: int, wanted=None):
+    """Hash and text of each line, of those wanted (a broadcast of sorted hashes) if that is given."""
+
     def run(batches):
         for rows, _, _ in slices(batches, text):
             lines = Lines(rows.column(text).to_pylist(), least)
             ids = lines.whole() if lines.text else np.zeros(0, np.int64)
             pick = np.unique(ids, return_index=True)[1]
+            if wanted is not None and len(wanted.value):
+                at = np.minimum(np.searchsorted(wanted.value, ids[pick]), len(wanted.value) - 1)
+                pick = pick[wanted.value[at] == ids[pick]]
+            elif wanted is not None:
+                pick = pick[:0]
             for k in range(0, len(pick), _LINES_PER_BATCH):
                 part = pick[k : k + _LINES_PER_BATCH]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([lines.text[p] for p in part.tolist()], pa.string())], ["id", "line"])
@@ -211,6 +217,13 @@ def _texts(text: str, least: int):
     return run
 
 
+def _bags(line: list[str]) -> np.ndarray:
+    """How often each class of characters (code point modulo 64) occurs in each line."""
+    size = np.array([len(x) for x in line])
+    codes = np.frombuffer("".join(line).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) % 64
+    return np.bincount(np.repeat(np.arange(len(line)), size) * 64 + codes, minlength=64 * len(line)).reshape(-1, 64).astype(np.int32)
+
+
 def _verified(edits: int):
     def run(batches):
         for batch in batches:
@@ -227,11 +240,12 @@ def _crowded(edits: int):
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         line, indexed = table.column("line").to_pylist(), table.column("indexed").to_numpy()
-        size = np.array([len(x) for x in line])
+        bags = _bags(line)
         group, out = np.arange(len(ids)), []
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         for x in left.tolist():
-            near = right[(group[right] != group[x]) & (np.abs(size[right] - size[x]) <= edits) & (ids[right] != ids[x]) & (indexed[right] | indexed[x])]
+            near = right[(group[right] != group[x]) & (ids[right] != ids[x]) & (indexed[right] | indexed[x])]
+            near = near[np.abs(bags[near] - bags[x]).sum(1) <= 2 * edits]  # an edit changes two counts at most
             if i == j:
                 near = near[ids[near] > ids[x]]
             ok = edit_distances([line[x]] * len(near), [line[y] for y in near.tolist()], edits) <= edits
@@ -257,7 +271,11 @@ def line_links(docs: DataFrame, scratch: Scratch, text: str, edits: int, least:
     sizes = scratch.write(open_.groupBy("bucket").agg(F.count("*").alias("size")), "sizes")
     sized = open_.join(sizes.hint("merge"), "bucket")
     ids = scratch.write(open_.select("id").distinct(), "ids")
-    lines = docs.select(text).mapInArrow(_texts(text, least), "id long, line string").join(_bounded(ids), "id", "left_semi")
+    if ids.count() <= BROADCAST_ROWS:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
+        lines = docs.select(text).mapInArrow(_texts(text, least, wanted), "id long, line string")
+    else:
+        lines = docs.select(text).mapInArrow(_texts(text, least), "id long, line string").join(ids.hint("merge"), "id", "left_semi")
     texts = scratch.write(lines.groupBy("id").agg(F.first("line").alias("line")), "texts")
 
     few = sized.filter(F.col("size") <= SMALL_BUCKET)
