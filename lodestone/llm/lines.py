@@ -39,6 +39,8 @@ EDITS = 2
 MIN_CHARS = 30
 SMALL_BUCKET = 16
 BLOCK = 512
+#: Lines of a block that are compared one by one before the others.
+HUBS = 8
 #: Rows of hashes that are broadcast at most.
 BROADCAST_ROWS = 500_000
 _LINES_PER_BATCH = 20_000
@@ -101,15 +103,31 @@ def bucket_keys(lines: Lines, pick: np.ndarray, edits: int, least: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _core(a: str, b: str) -> tuple[str, str]:
+    """Both texts without their common beginning and end, found by bisection."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    head, high, low = low, min(len(a), len(b)) - low, 0
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low] else (low, middle - 1)
+    return a[head : len(a) - low], b[head : len(b) - low]
+
+
 def edit_distances(left: list[str], right: list[str], most: int) -> np.ndarray:
     """Edit distances of pairs, and ``most + 1`` wherever they are greater.
 
-    Bit-parallel over a band of 2 * most + 1 diagonals, which moves down one
-    row with each character; one step serves all pairs. Lines are longer than
-    ``most``, and ``most`` is at most 30.
+    Common beginnings and ends are set aside. Then bit-parallel over a band of
+    2 * most + 1 diagonals, which moves down one row with each character; one
+    step serves all pairs. ``most`` is at most 30.
     """
     if not left:
         return np.zeros(0, np.int64)
+    end = "\0" * (most + 1)  # a common end changes no distance, and makes all texts longer than the band
+    cores = [_core(a, b) for a, b in zip(left, right, strict=True)]
+    left, right = ([c[k] + end for c in cores] for k in (0, 1))
     pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(left, right, strict=True)]
     m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
     codes = [np.frombuffer("".join(p[k] for p in pairs).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", "<u4") for k in (0, 1)]
@@ -243,16 +261,33 @@ def _crowded(edits: int):
         bags = _bags(line)
         group, out = np.arange(len(ids)), []
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        for x in left.tolist():
-            near = right[(group[right] != group[x]) & (ids[right] != ids[x]) & (indexed[right] | indexed[x])]
-            near = near[np.abs(bags[near] - bags[x]).sum(1) <= 2 * edits]  # an edit changes two counts at most
+
+        def near(x: int) -> np.ndarray:
+            y = right[(group[right] != group[x]) & (ids[right] != ids[x]) & (indexed[right] | indexed[x])]
             if i == j:
-                near = near[ids[near] > ids[x]]
-            ok = edit_distances([line[x]] * len(near), [line[y] for y in near.tolist()], edits) <= edits
-            for y in near[ok].tolist():
-                if group[y] != group[x]:
-                    out.append((ids[x], ids[y]))
-                    group[group == group[y]] = group[x]
+                y = y[ids[y] > ids[x]]
+            return y[np.abs(bags[y] - bags[x]).sum(1) <= 2 * edits]  # an edit changes two counts at most
+
+        def join(x: np.ndarray, y: np.ndarray) -> None:
+            ok = edit_distances([line[k] for k in x.tolist()], [line[k] for k in y.tolist()], edits) <= edits
+            for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                if group[p] != group[q]:
+                    out.append((ids[p], ids[q]))
+                    group[group == group[q]] = group[p]
+
+        # A few lines against all first, which joins most of a large group; then what is left, many pairs at a time.
+        for x in left[:HUBS].tolist():
+            join(np.full(len(y := near(x)), x), y)
+        held, n = [], 0
+        for x in left[HUBS:].tolist():
+            y = near(x)
+            held.append((np.full(len(y), x), y))
+            n += len(y)
+            if n >= 20_000:
+                join(*(np.concatenate(z) for z in zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            join(*(np.concatenate(z) for z in zip(*held, strict=True)))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -328,7 +363,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str
     # A group's root has no entry of its own in the forest; its members are led to it by their first hash alone.
     roots = linked.select(F.col("root").alias("c1")).distinct().withColumn("grouped", F.lit(True))
     found = scratch.write(found.join(_bounded(scratch.write(roots, "roots")), "c1", "left").select("doc_id", "line_no", "c1", F.when(F.col("grouped"), F.lit(0)).otherwise(F.col("h2")).alias("c2")), "lines")
-    first = found.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
+    first = scratch.write(found.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")), "first")
     repeats = found.join(first.hint("merge"), ["c1", "c2"]).filter("doc_id <> d OR line_no <> l")
     gone = scratch.write(repeats.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_key"), "gone")
     marked = docs.join(_bounded(gone), F.col(key) == F.col("_key"), "left").drop("_key")
