@@ -10,9 +10,9 @@ likelihood. Forward-backward gives each word's label probabilities in a whole
 text. A document has the label with the greatest mean probability, and that as
 its score; the words' labels show where a text switches.
 
-Training reads a bounded sample: blocks of ``BLOCK`` neighbouring words, of
-which ``BLOCKS`` at most are taken for each label by the smallest hashes, from
-anywhere in the texts. Half of them are split and joined with halves of other
+Training reads a bounded sample: of each label about ``DOCUMENTS`` documents by
+the hash of their ids, and of these ``BLOCKS`` blocks of ``BLOCK`` neighbouring
+words at most, by the smallest hashes, from anywhere in the texts. Half of them are split and joined with halves of other
 labels, so that transitions are learned from switches too. Prediction covers all
 words of all texts, in one pass without a shuffle.
 
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.textbytes import mix, slices
 
 BLOCK = 24
-#: Training blocks for each label.
+#: Training blocks for each label, and documents that they are taken from, about.
 BLOCKS = 3000
+DOCUMENTS = 4000
 TABLE = 1 << 18
 LEXICON = 20_000
 STEPS = 60
@@ -183,10 +184,16 @@ def train(blocks: list[tuple[str, list[str]]], steps: int = STEPS, seed: int = 7
 def training_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", blocks: int = BLOCKS) -> list[tuple[str, list[str]]]:
     """At most ``blocks`` blocks of words for each label: those with the smallest hashes of place and text.
 
-    Tasks first keep the smallest of their own, so little is shuffled and what
-    reaches the driver has the documented bound, whatever the number of rows.
+    Labels are counted first, which reads their column alone; then only the
+    sampled documents' texts are read. What is shuffled and what reaches the
+    driver has the documented bounds, whatever the number of rows.
     """
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("id")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    shares = [x for r in labelled.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(min(1.0, DOCUMENTS / r["count"])))]
+    if not shares:
+        return []
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.create_map(*shares)[F.col("lang")] * (1 << 30)
+    labelled = labelled.filter(drawn)
 
     def cut(batches):
         best: dict[str, list[tuple[int, str]]] = {}
