@@ -44,7 +44,7 @@ CROWD = 4096
 SORTED = 200_000
 _PLACE = np.uint64((1 << 28) - 1)
 _SECOND = (0xC2B2AE3D27D4EB4F, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
-_RUN = "anchor long, t long, size long, first long, n long, h1 long, h2 long"
+_RUN = "anchor long, t long, size long, first long, n long, h1 long, h2 long, times long"
 _RANGES = "array<struct<lo: long, hi: long>>"
 
 
@@ -93,7 +93,16 @@ def _runs(text: str, length: int, gram: int):
             head = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
             first, last = start[head], start[np.append(head[1:], len(start)) - 1]
             own = doc[first]
-            columns = [grams[at[head]].view(np.int64), names(one, offsets)[own], np.diff(offsets)[own], first - offsets[own], last - first + 1, one.of(first, last + length).view(np.int64), two.of(first, last + length).view(np.int64)]
+            anchor, t, place = grams[at[head]], names(one, offsets)[own], first - offsets[own]
+            h1, h2 = one.of(first, last + length), two.of(first, last + length)
+            # Of equal pieces one goes on with their number. The others are known to be repeated, and spread over all tasks.
+            order = np.lexsort((h2, h1, anchor))
+            new = np.ones(len(order), bool)
+            new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+            times = np.zeros(len(order), np.int64)
+            times[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
+            anchor = np.where(times > 0, anchor, mix(t.view(np.uint64) + place.astype(np.uint64)))
+            columns = [anchor.view(np.int64), t, np.diff(offsets)[own], place, last - first + 1, h1.view(np.int64), h2.view(np.int64), times]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [x.split()[0] for x in _RUN.split(", ")])
 
     return run
@@ -120,14 +129,16 @@ def whole_groups(batches, key: str, limit: int):
 
 
 def _shared(batches):
-    """Runs whose anchor occurs twice; of a very large group the parts that are at hand pass as they are."""
+    """Runs whose anchor or piece occurs twice; of a very large group the parts that are at hand pass as they are."""
     held: list[pa.RecordBatch] = []
     known = None  # an anchor of which rows have passed already
 
     def twice(table: pa.Table) -> list[pa.RecordBatch]:
         anchor = table.column("anchor").to_numpy()
         same = anchor[1:] == anchor[:-1]
-        keep = np.zeros(len(anchor), bool) if known is None else anchor == known
+        keep = table.column("times").to_numpy() != 1
+        if known is not None:
+            keep |= anchor == known
         keep[1:] |= same
         keep[:-1] |= same
         return table.filter(pa.array(keep)).to_batches()
@@ -329,7 +340,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "
     scratch = Scratch(docs.sparkSession, "repeats")
     runs = docs.select(text).mapInArrow(_runs(text, length, gram), _RUN).repartition("anchor").sortWithinPartitions("anchor")
     runs = scratch.write(runs.mapInArrow(_shared, _RUN), "runs")
-    pieces = runs.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("t", "size", "first", "n")).alias("one"))
+    own = runs.filter("times > 0")
+    pieces = own.groupBy("anchor", "h1", "h2").agg(F.sum("times").alias("times"), F.min(F.struct("t", "size", "first", "n")).alias("one"))
     pieces = scratch.write(pieces.select("anchor", "h1", "h2", "times", "one.*"), "pieces")
     sizes = pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     wanted = pieces.join(sizes.hint("merge"), "anchor")
@@ -346,15 +358,16 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "
         cut = scratch.write(cut, "cut")
     usual = cut.join(crowds.hint("merge"), "anchor", "left_anti") if some else cut
     ordered = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(length), f"t long, size long, first long, ranges {_RANGES}")
-    found = ordered.select("t", "size", F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("first")).alias("lo"), (r["hi"] + F.col("first")).alias("hi"))).alias("ranges")).filter(F.size("ranges") > 0)
-    whole = runs.join(pieces.filter("times > 1").select("anchor", "h1", "h2").hint("merge"), ["anchor", "h1", "h2"])
-    whole = whole.select("t", "size", F.array(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))).alias("ranges"))
+    found = ordered.select("t", "size", "first", F.inline("ranges")).select("t", "size", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi"))
+    again = own.join(pieces.filter("times > 1").select("anchor", "h1", "h2").hint("merge"), ["anchor", "h1", "h2"]).unionByName(runs.filter("times = 0"))
+    whole = again.select("t", "size", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
     parts = found.unionByName(whole)
     if some:
         windows = cut.join(crowds.hint("merge"), "anchor", "left_semi").mapInArrow(_window_hashes(length), "w1 long, w2 long, t long, size long, at long")
         twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2")
-        crowd = windows.join(twice.hint("merge"), ["w1", "w2"]).select("t", "size", F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))).alias("ranges"))
+        crowd = windows.join(twice.hint("merge"), ["w1", "w2"]).select("t", "size", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
         parts = parts.unionByName(crowd)
-    marks = scratch.write(parts.groupBy("t", "size").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges")), "marks")
+    # Copies of a text bring the same ranges; without repeats a text has fewer of them than bytes.
+    marks = scratch.write(parts.distinct().groupBy("t", "size").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "marks")
     marked = named.join(marks.hint("merge"), ["t", "size"], "left").select(key, text, "ranges")
     return marked.mapInArrow(_without(key, text, length), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
