@@ -14,7 +14,6 @@ that the vocabulary lacks can't be decoded and raise ``ValueError``.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterable
@@ -24,15 +23,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestone.llm import worker
 from lodestone.llm.textbytes import slices
 
 #: Bytes of pieces a task remembers before it starts afresh.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 64 << 20
 #: Bytes of text whose new pieces are replayed together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
-@functools.cache
 def ranks(path: str) -> dict[bytes, int]:
     """A rank file's tokens; a token's rank is its id."""
     with open(path, "rb") as lines:
@@ -160,10 +159,9 @@ class Encoder:
         return self._vocabulary.decode(np.frombuffer(ids, "<u4").astype(np.int64))
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder per Python worker, which keeps what it knows from task to task."""
-    return Encoder(path, pattern)
+    """The worker's encoder, which keeps what it knows from task to task."""
+    return worker.keep((path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ that sorts first; repeated rows get equal results.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from typing import NamedTuple
 
@@ -32,6 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import worker
 from lodestone.llm.textbytes import mix, slices
 
 BLOCK = 24
@@ -43,7 +45,7 @@ LEXICON = 20_000
 STEPS = 60
 UND = "und"
 #: Words and features that a worker remembers before it starts afresh.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 
 
@@ -257,19 +259,11 @@ class Tagger:
         return [self.model.labels[b] if s else UND for b, s in zip(best.tolist(), sizes.tolist(), strict=True)], np.clip(mean[np.arange(len(texts)), best], 0, 1).tolist()
 
 
-_latest: list[Tagger] = []
-
-
 def _tagger(docs: DataFrame, model: Model):
     """Broadcasts the model, whose size the constants bound. A worker keeps its tagger from task to task."""
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(weights=model.weights.astype(np.float32)))
-
-    def own() -> Tagger:
-        if not _latest or _latest[0].model is not shared.value:
-            _latest[:] = [Tagger(shared.value)]
-        return _latest[0]
-
-    return own
+    name = uuid.uuid4().hex
+    return lambda: worker.keep(name, lambda: Tagger(shared.value))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

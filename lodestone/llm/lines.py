@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import worker
 from lodestone.llm.components import components
 from lodestone.llm.shared import Scratch
 from lodestone.llm.textbytes import mix, powers, slices
@@ -170,6 +171,7 @@ def _batches(columns: list[np.ndarray], names: list[str], size: int = 200_000):
 
 def _keyed(text: str, edits: int, least: int):
     def run(batches):
+        worker.drop()
         for rows, _, _ in slices(batches, text):
             lines = Lines(rows.column(text).to_pylist(), least)
             if lines.text:

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import worker
 from lodestone.llm.components import components
 from lodestone.llm.shared import Scratch
 from lodestone.llm.textbytes import SPACE_SPLIT, Words, mix, slices, utf8
@@ -115,6 +116,7 @@ def superminhash(elements: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
 
 def _signer(key: str, text: str, k: int, m: int):
     def run(batches):
+        worker.drop()
         for rows, data, offsets in slices(batches, text):
             n = rows.num_rows
             sets, first = shingle_sets(Words(data, offsets, SPACE_SPLIT), n, k)
