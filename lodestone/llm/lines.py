@@ -44,6 +44,8 @@ BLOCK = 512
 HUBS = 8
 #: Rows of hashes that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Rows of a bucket that wait for the rest of it at most; a larger one passes whole.
+HELD_ROWS = 100_000
 _LINES_PER_BATCH = 20_000
 
 
@@ -186,10 +188,9 @@ def _shared(batches):
     """Of rows sorted by bucket, those whose bucket has two different lines and an indexed one.
 
     The last bucket of a batch waits for the next batch, unless it is large
-    already; then it passes as it is, which is only less strict.
+    already; then it passes with all its later rows, which is only less strict.
     """
-    rest = None
-    large = 100_000
+    rest = known = None
 
     def passed(table):
         bucket, line = (table.column(c).to_numpy() for c in ("bucket", "id"))
@@ -205,11 +206,15 @@ def _shared(batches):
         if not table.num_rows:
             continue
         bucket = table.column("bucket").to_numpy()
-        last = int(np.searchsorted(bucket, bucket[-1]))
-        yield from passed(table.slice(0, last)).to_batches()
+        first = int(np.searchsorted(bucket, known, "right")) if known is not None else 0
+        last = max(first, int(np.searchsorted(bucket, bucket[-1])))
+        yield from table.slice(0, first).to_batches()
+        yield from passed(table.slice(first, last - first)).to_batches()
         held = table.slice(last)
-        if held.num_rows > large:
+        if held.num_rows > HELD_ROWS:
             yield from held.to_batches()
+            rest, known = None, bucket[-1]
+        elif not held.num_rows:
             rest = None
         else:
             rest = pa.RecordBatch.from_arrays([c.combine_chunks() for c in held.columns], held.schema.names)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,6 +116,18 @@ def test_stream_of_buckets(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("tail", [[(7, k, False) for k in range(30, 39)], [(7, 99, True)] * 4])
+def test_large_bucket_passes_whole(monkeypatch, tail):
+    """A bucket above the bound keeps its last rows, be they probes only or of one line; its neighbours are judged as ever."""
+    monkeypatch.setattr(L, "HELD_ROWS", 8)
+    large = [(7, k, k == 0) for k in range(30)] + tail
+    rows = [(1, 1, True), (1, 2, False), (5, 1, True), *large, (8, 1, False), (8, 2, False), (9, 1, True), (9, 2, False)]
+    for size in (1, 3, 5, 10, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size], strict=True)], ["bucket", "id", "indexed"]) for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in L._shared(iter(batches)) for r in b.to_pylist()]
+        assert got == [r for r in rows if r[0] in (1, 7, 9)]
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert L.counts(frame).count() == 0
