@@ -40,7 +40,7 @@ def op5_repeated_bytes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op6_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return embeddings.near_duplicates(_table(spark, root, "embeddings"))
+    return embeddings.near_duplicates(_table(spark, root, "embeddings"), exact=True)
 
 
 def op7_warc(spark: SparkSession, root: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_query_against_brute_force(spark):
     root = "/root/testdata/sf0.1"
     vectors = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{root}/embeddings.parquet").collect()}
     assert sorted(map(tuple, registry.op6_embedding_dedup(spark, root).collect()), key=str) == brute(vectors)
+
+
+def test_query_in_few_effective_dimensions(spark, tmp_path):
+    """Vectors of 64 dimensions that lie in a plane: steps go straight across the cells' borders."""
+    rng = np.random.default_rng(5)
+    plane = np.linalg.qr(rng.normal(size=(64, 2)))[0]
+    angles = rng.uniform(0, 2 * np.pi, 300)
+    vectors = {k: [float(x) for x in np.float32(plane @ (np.cos(a), np.sin(a)))] for k, a in enumerate(angles)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, registry.op6_embedding_dedup(spark, str(tmp_path)).collect()), key=str) == brute(vectors)
