@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, decontamination, langid, lines, minhash
 from lodestone.llm.shared import Scratch
 
-#: Documents below this mean probability have no language that can be told.
+#: Documents whose words are less certain of their language than this on average have none that can be told.
 LEAST_SCORE = 0.5
 #: The language model can't be written in SQL.
 ORACLE_SQL = None

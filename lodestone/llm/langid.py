@@ -246,17 +246,24 @@ class Tagger:
             return np.zeros((0, len(self.model.labels))), sizes
         return marginals(self._emit[token], sizes[sizes > 0], self.model.moves, self.model.start)[0], sizes
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language of each text and its mean probability."""
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The language of each text, its mean probability, and the words' own certainty: the mean of their greatest probabilities."""
         if not self.model.labels:
-            return [UND] * len(texts), [0.0] * len(texts)
+            return [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         p, sizes = self.tag(texts)
         full = np.flatnonzero(sizes)
-        mean = np.zeros((len(texts), len(self.model.labels)))
+        mean, sure = np.zeros((len(texts), len(self.model.labels))), np.zeros(len(texts))
         if len(full):
-            mean[full] = np.add.reduceat(p, (np.cumsum(sizes) - sizes)[full]) / sizes[full][:, None]
+            heads = (np.cumsum(sizes) - sizes)[full]
+            mean[full] = np.add.reduceat(p, heads) / sizes[full][:, None]
+            sure[full] = np.add.reduceat(p.max(1), heads) / sizes[full]
         best = mean.argmax(1)
-        return [self.model.labels[b] if s else UND for b, s in zip(best.tolist(), sizes.tolist(), strict=True)], np.clip(mean[np.arange(len(texts)), best], 0, 1).tolist()
+        names = [self.model.labels[b] if s else UND for b, s in zip(best.tolist(), sizes.tolist(), strict=True)]
+        return names, np.clip(mean[np.arange(len(texts)), best], 0, 1).tolist(), np.clip(sure, 0, 1).tolist()
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text and its mean probability."""
+        return self.judge(texts)[:2]
 
 
 def _tagger(docs: DataFrame, model: Model):
@@ -280,14 +287,14 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 
 def keep(docs: DataFrame, model: Model, accept: list[str] | None = None, least: float = 0.0, text: str = "text") -> DataFrame:
-    """The documents, with all their columns, whose language is accepted (any known one if None) with at least that score."""
+    """The documents, with all their columns, whose language is accepted (any known one if None), and whose words are at least that certain of theirs."""
     tagger = _tagger(docs, model)
 
     def run(batches):
         own = tagger()
         for rows, _, _ in slices(batches, text):
-            names, scores = own.predict(rows.column(text).to_pylist())
-            yield rows.filter(pa.array([(n in accept if accept is not None else n != UND) and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, _, sure = own.judge(rows.column(text).to_pylist())
+            yield rows.filter(pa.array([(n in accept if accept is not None else n != UND) and s >= least for n, s in zip(names, sure, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

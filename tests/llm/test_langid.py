@@ -64,6 +64,16 @@ def test_frames(spark):
     assert [x for _, x in got] == ["en", "fr"] and abs(got[1][0] - len(EN)) <= 1
 
 
+def test_clean_mixtures_stay(spark):
+    """An even mix of two languages and one of three, beside a text whose words no label fits better than another."""
+    de = "die katze sitzt auf der matte und dann kommt ein hund".split()
+    m = L.train([(x, ws[k:] + ws[:k]) for x, ws in (("en", EN), ("fr", FR), ("de", de)) for k in range(9)], steps=60)
+    docs = spark.createDataFrame([(1, " ".join(EN + FR)), (2, " ".join(EN + FR + de)), (3, "12 ?!")], "doc_id long, text string")
+    assert max(L.Tagger(m).predict([" ".join(EN + FR + de)])[1]) < 0.5
+    assert sorted(r.doc_id for r in L.keep(docs, m, least=0.5).collect()) == [1, 2]
+    assert L.keep(docs, m._replace(weights=0 * m.weights, moves=0 * m.moves), least=0.5).count() == 0
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "the cat", None), (2, None, "en")], "doc_id long, text string, lang string")
     m = L.fit(docs)
