@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines, and documents that had nothing else."""
-    kept = lines.dedup(docs)
+    kept = lines.dedup(docs, equal=lines.EQUAL_CHARS)
     gone = F.col("_gone").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     return kept.filter(~gone | F.col("text").isNull()).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

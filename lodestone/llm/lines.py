@@ -2,7 +2,9 @@
 
 Lines of at least ``MIN_CHARS`` characters are linked if their edit distance is
 at most ``EDITS``; of each group of linked or equal lines the first (smallest
-document id, then line number) stays and the others are removed.
+document id, then line number) stays and the others are removed. Equal lines
+are grouped from ``equal`` characters on, which may be fewer: the floor guards
+short lines from false links alone.
 
 1. A line of length n is cut into EDITS + 1 segments, each indexed under its
    length class, number and content. For each length from n - EDITS to n a line
@@ -20,8 +22,9 @@ where equal lines are grouped. Texts of candidates are fetched by a broadcast of
 their hashes while these are below ``BROADCAST_ROWS``, by a shuffle beyond it.
 
 Defined cases: a null text stays null and has no lines; documents with a null
-id neither lose lines nor cause losses; repeated rows are treated alike; short
-lines always stay. Characters are Unicode code points.
+id neither lose lines nor cause losses; repeated rows are treated alike; lines
+below both floors, and short lines of white space alone, always stay.
+Characters are Unicode code points.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from lodestone.llm.textbytes import mix, powers, slices
 
 EDITS = 2
 MIN_CHARS = 30
+#: Equal lines of so many characters, not all white space, are grouped by the registered query and the pipeline.
+EQUAL_CHARS = 1
 SMALL_BUCKET = 16
 BLOCK = 512
 #: Lines of a block that are compared one by one before the others.
@@ -57,13 +62,13 @@ def segments(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, n
 
 
 class Lines:
-    """The eligible lines of a slice of texts, with hashes of any of their substrings."""
+    """The eligible lines of a slice of texts, with hashes of any of their substrings; shorter ones from ``equal`` on if they aren't blank."""
 
-    def __init__(self, texts: list[str | None], least: int):
-        split = [(t or "").split("\n") for t in texts]
-        self.doc = np.array([d for d, ls in enumerate(split) for x in ls if len(x) >= least], np.int64)
-        self.number = np.array([k for ls in split for k, x in enumerate(ls) if len(x) >= least], np.int64)
-        self.text = [x for ls in split for x in ls if len(x) >= least]
+    def __init__(self, texts: list[str | None], least: int, equal: int | None = None):
+        found = [(d, k, x) for d, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(x) >= least or (equal is not None and len(x) >= equal and not x.isspace() and x)]
+        self.doc = np.array([d for d, _, _ in found], np.int64)
+        self.number = np.array([k for _, k, _ in found], np.int64)
+        self.text = [x for _, _, x in found]
         self.size = np.fromiter(map(len, self.text), np.int64, len(self.text))
         self.start = np.cumsum(self.size) - self.size
         self.codes = np.frombuffer("".join(self.text).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -333,10 +338,10 @@ def line_links(docs: DataFrame, scratch: Scratch, text: str, edits: int, least:
     return components(scratch.write(links, "links"), scratch)
 
 
-def _occurrences(key: str, text: str, least: int):
+def _occurrences(key: str, text: str, least: int, equal: int | None):
     def run(batches):
         for rows, _, _ in slices(batches, text):
-            lines = Lines(rows.column(text).to_pylist(), least)
+            lines = Lines(rows.column(text).to_pylist(), least, equal)
             if lines.text:
                 own = rows.column(key).cast(pa.int64()).to_numpy()[lines.doc]
                 yield from _batches([own, lines.number, lines.whole(0), lines.whole(1)], ["doc_id", "line_no", "h1", "h2"])
@@ -359,12 +364,15 @@ def _without(text: str):
     return run
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, without lines that repeat an earlier line; ``_gone`` names the removed line numbers."""
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str = "doc_id", text: str = "text", equal: int | None = None) -> DataFrame:
+    """The documents, all columns, without lines that repeat an earlier line; ``_gone`` names the removed line numbers.
+
+    ``equal`` is the floor for equal lines, ``least`` if it is None.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     known = docs.filter(F.col(key).isNotNull()).select(key, text)
     united = line_links(known, scratch, text, edits, least)
-    found = known.mapInArrow(_occurrences(key, text, least), "doc_id long, line_no long, h1 long, h2 long")
+    found = known.mapInArrow(_occurrences(key, text, least, equal), "doc_id long, line_no long, h1 long, h2 long")
     linked = united.withColumnRenamed("node", "h1")
     found = found.join(_bounded(linked), "h1", "left").select("doc_id", "line_no", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("h2"), "h1")
     # A group's root has no entry of its own in the forest; its members are led to it by their first hash alone.
@@ -377,10 +385,10 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str
     return marked.mapInArrow(_without(text), marked.schema)
 
 
-def counts(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def counts(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str = "doc_id", text: str = "text", equal: int | None = None) -> DataFrame:
     """``key, n_lines, n_removed, kept_sha256`` for each document."""
     lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
     numbered = docs.select(key, text, F.when(F.col(text).isNull(), F.lit(0)).otherwise(lines).alias("n_lines"))
-    kept = dedup(numbered, edits, least, key, text)
+    kept = dedup(numbered, edits, least, key, text, equal)
     gone = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
     return kept.select(key, "n_lines", gone.alias("n_removed"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

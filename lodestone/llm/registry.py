@@ -25,7 +25,7 @@ def op2_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return lines.counts(_table(spark, root, "documents"))
+    return lines.counts(_table(spark, root, "documents"), equal=lines.EQUAL_CHARS)
 
 
 def op4_language_id(spark: SparkSession, root: str) -> DataFrame:

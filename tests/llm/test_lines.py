@@ -128,6 +128,16 @@ def test_large_bucket_passes_whole(monkeypatch, tail):
         assert got == [r for r in rows if r[0] in (1, 7, 9)]
 
 
+def test_query_groups_short_equal_lines(spark, tmp_path):
+    """Equal lines of any length go but their first; blank lines and short lines that only look alike stay."""
+    long = "A line that is long enough to be compared by its edit distance."
+    docs = [(1, "Ok.\n\nAll rights reserved.\n" + long), (2, "All rights reserved.\n\n  \nAll rights reserved!"), (3, "Ok.\n  \n" + long[:-1] + "!\nx"), (4, None), (5, "x\nOk.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {1: docs[0][1], 2: "\n  \nAll rights reserved!", 3: "  \nx", 4: "", 5: ""}
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in registry.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: (n, hashlib.sha256(kept[d].encode()).hexdigest()) for d, n in {1: 0, 2: 1, 3: 2, 4: 0, 5: 2}.items()}
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert L.counts(frame).count() == 0
@@ -142,6 +152,16 @@ def test_query_against_brute_force(spark):
     assert got == brute_quick(docs, near)
 
 
+def test_query_counts_short_repeats(spark):
+    """As above; short lines stand in the brute force as long ones that are far from all others."""
+    root = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+    spread = lambda x: x if len(x) >= L.MIN_CHARS or not x.strip() else hashlib.sha256(x.encode()).hexdigest()
+    long = [(d, "\n".join(map(spread, t.split("\n")))) for d, t in docs]
+    want = [r[:3] for r in brute_quick(long, {x for _, t in long for x in t.split("\n") if len(x) >= L.MIN_CHARS})]
+    assert sorted((tuple(r)[:3] for r in registry.op3_line_dedup(spark, root).collect()), key=str) == sorted(want, key=str)
+
+
 def brute_quick(docs, lines):
     """As ``brute``, with distances only between lines of similar lengths that share a third of one."""
     by = {}
