@@ -8,8 +8,9 @@ scanned over the documents, and the results merged by document. A window of a
 document whose hash is in the set is compared word by word before it counts.
 
 Defined cases: a null or wordless text has no words and no hits; a null or
-wordless item has no windows; repeated documents are judged one by one; equal
-items under two ids are both named; an empty benchmark contaminates nothing.
+wordless item has no windows; an item with a null id but a text hits and isn't
+named; repeated documents are judged one by one; equal items under two ids are
+both named; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Windows(NamedTuple):
     known: dict[int, dict[int, dict[bytes, list[str]]]]
 
     @classmethod
-    def of(cls, items: list[tuple[str, str]], size: int) -> Windows:
+    def of(cls, items: list[tuple[str | None, str]], size: int) -> Windows:
         known: dict = {}
         for item_id, text in items:
             data, offsets = utf8(pa.array([text], pa.string()))
@@ -54,7 +55,7 @@ class Windows(NamedTuple):
             for k in range(n - width + 1 if width else 0):
                 key = int(sequence_hash(words.hash[k : k + width]))
                 owners = known.setdefault(width, {}).setdefault(key, {}).setdefault(words.text(k, k + width), [])
-                if item_id not in owners:
+                if item_id is not None and item_id not in owners:
                     owners.append(item_id)
         return cls(known)
 
@@ -75,7 +76,7 @@ def _scan(words: Words, windows: Windows, filters: dict[int, np.ndarray]) -> tup
         at, hashes = words.window_hashes(width)
         maybe = np.flatnonzero(filters[width][hashes >> np.uint64(64 - _FILTER_BITS)])
         for k in maybe.tolist():
-            if (texts := keys.get(int(hashes[k]))) and (owners := texts.get(words.text(at[k], at[k] + width))):
+            if (texts := keys.get(int(hashes[k]))) and (owners := texts.get(words.text(at[k], at[k] + width))) is not None:
                 edge[at[k]] += 1
                 edge[at[k] + width] -= 1
                 items[int(words.doc[at[k]])].update(owners)
@@ -89,13 +90,13 @@ def _runs(words: Words, hit: np.ndarray, doc: int, offset: int) -> list[dict]:
     return [{"first": int(x), "last": int(y), "begin": int(words.start[a + x] - offset), "end": int(words.end[a + y - 1] - offset)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The test items, at most about ``block_bytes`` of text at a time; one item is never split."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(n)) == k)
         yield [(r.i, r.t) for r in part.collect()]
 
 

@@ -73,6 +73,17 @@ def test_remove(spark):
         assert words(cut[203]) == ["a", "b"] * 500
 
 
+def test_items_without_id(spark):
+    """They hit and remove as others do, and name no item."""
+    items = [(None, "some passage without an id"), (None, "another one of them"), (7, "another one of them"), (8, "far off")]
+    docs = [(1, "Some passage without an ID"), (2, "another one of them, far off"), (3, "clean")]
+    a, b = frames(spark, docs, items)
+    for block in (D.BLOCK_BYTES, 100):
+        got = {r.doc_id: (r.n_hit, r.item_ids) for r in D.scan(a, b, block_bytes=block).collect()}
+        assert got == {1: (5, []), 2: (6, ["7", "8"]), 3: (0, [])}
+        assert [r.doc_id for r in D.remove(a, b, block_bytes=block).collect()] == [3]
+
+
 def test_empty(spark):
     docs, items = cases()
     a, b = frames(spark, docs, items)
