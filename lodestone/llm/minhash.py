@@ -22,8 +22,16 @@ A linked pair is missed if no band agrees: with 25 bands of 4 a chance of 1e-8
 at a similarity of 0.85 and 2e-6 at 0.8. A pair at the threshold is left out by
 its signature with a chance below 1e-6.
 
-Defined cases: repeated rows get equal results; a row with a null id has its
-set, links with nothing under an id of its own, and has a null component.
+Words are named by their bytes or a cryptographic digest, so that no text can be
+made to pass for another one.
+
+Defined cases: a null or empty text, and one without words, has an empty set and
+is linked with nothing; repeated rows get equal results; rows with one id and
+different texts are one document, which is linked by any of its texts, and each
+row has the set size of its own text; a row with a null id has its set, links
+with nothing under an id of its own, and has a null component; of equally small
+candidates none is preferred, since the smallest id decides; an empty table
+gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import worker
 from lodestone.llm.components import components
 from lodestone.llm.shared import Scratch
-from lodestone.llm.textbytes import SPACE_SPLIT, Words, mix, slices, utf8
+from lodestone.llm.textbytes import SPACE_SPLIT, Words, digests, mix, slices, utf8
 
 K = 5
 PERCENT = 80
@@ -45,6 +53,8 @@ ROWS = 4
 SMALL_BUCKET = 16
 #: Rows of a large bucket that are compared with as many others at a time.
 BLOCK = 512
+#: Shingles of a block, about, which bounds the text that a task holds.
+BLOCK_SHINGLES = 400_000
 #: Members of a hub that are verified in one place.
 SALT_ROWS = 200
 _STEP = np.uint64(1 << 57)
@@ -119,18 +129,20 @@ def _signer(key: str, text: str, k: int, m: int):
         worker.drop()
         for rows, data, offsets in slices(batches, text):
             n = rows.num_rows
-            sets, first = shingle_sets(Words(data, offsets, SPACE_SPLIT), n, k)
+            words = Words(data, offsets, SPACE_SPLIT)
+            sets, first = shingle_sets(words, n, k)
             sizes = np.diff(first)
             full = np.flatnonzero(sizes)
-            digests = []
-            for seed in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D):
-                total = np.zeros(n, np.uint64)
+            names = np.zeros((n, 2), np.int64)
+            for half, seed in enumerate((0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)):
                 if len(full):
-                    total[full] = np.add.reduceat(mix(sets ^ np.uint64(seed)), first[full])
-                digests.append(pa.array(total.view(np.int64)))
+                    names[full, half] = np.add.reduceat(mix(sets ^ np.uint64(seed)), first[full]).view(np.int64)
+            # One shingle alone: its hash is too short to name it among very many.
+            single = np.flatnonzero(sizes == 1)
+            names[single] = digests([words.text(words.first[d], words.first[d] + min(k, words.counts[d])) for d in single.tolist()])
             signature = (mix(superminhash(sets, first, m)) >> np.uint64(48)).astype("<u2")
             yield pa.RecordBatch.from_arrays(
-                [rows.column(key).cast(pa.int64()), pa.array(sizes, pa.int64()), *digests, pa.array([s.tobytes() for s in signature], pa.binary())], ["doc_id", "n", "h1", "h2", "sig"]
+                [rows.column(key).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in signature], pa.binary())], ["doc_id", "n", "h1", "h2", "sig"]
             )
 
     return run
@@ -175,7 +187,7 @@ def _across(least: int, percent: int, k: int):
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         out = []
         for x in left.tolist():
-            near = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= percent * np.maximum(n[right], n[x]))]
+            near = right[(comp[right] != comp[x]) & (ids[right] != ids[x]) & (np.minimum(n[right], n[x]) * 100 >= percent * np.maximum(n[right], n[x]))]
             if i == j:
                 near = near[ids[near] > ids[x]]
             agree = (sig[near] == sig[x]).sum(1)
@@ -193,15 +205,19 @@ def _verifier(text: str, k: int, percent: int):
     """Reads each hub's text, then its members', and keeps those that are linked with it."""
 
     def run(batches):
-        hub, own = None, np.zeros(0, np.uint64)
+        worker.drop()
+        hub, own = None, []  # the sets of the hub's texts
         for rows, data, offsets in slices(batches, text):
             sets, first = shingle_sets(Words(data, offsets, SPACE_SPLIT), rows.num_rows, k)
             hubs, members, found = rows.column("a").to_pylist(), rows.column("b").to_pylist(), []
             for d, (a, b) in enumerate(zip(hubs, members, strict=True)):
                 mine = sets[first[d] : first[d + 1]]
                 if a == b:
-                    hub, own = a, mine.copy()
-                elif a == hub and _linked(own, mine, percent):
+                    own = own if a == hub else []
+                    hub = a
+                    if not any(np.array_equal(mine, x) for x in own):
+                        own.append(mine.copy())
+                elif a == hub and any(_linked(x, mine, percent) for x in own):
                     found.append(d)
             yield rows.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
@@ -244,7 +260,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, bands:
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("size")).filter("size > 1")
     starred = scratch.write(buckets.join(hubs.hint("merge"), "bucket").select("bucket", F.col("rep").alias("b"), "a", "size"), "buckets")
     tried = scratch.write(likely(starred.filter("a <> b").select("a", "b").distinct()), "hub-pairs")
-    links = scratch.write(verify(tried, docs, key, text, k, percent), "links")
+    links = verify(tried, docs, key, text, k, percent)
+    # An id with several texts joins the classes of all of them.
+    several = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("low"), F.max(F.struct("n", "h1", "h2")).alias("high")).filter("low <> high").select("doc_id")
+    if several.head(1):
+        own = sets.join(several.hint("merge"), "doc_id").join(classes.select("n", "h1", "h2", "rep").hint("merge"), ["n", "h1", "h2"])
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())
+    links = scratch.write(links, "links")
     united = components(links, scratch)
 
     placed = starred.select("bucket", "size", F.col("b").alias("rep")).join(united.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("bucket", "size", "rep", F.coalesce("root", "rep").alias("comp"))
@@ -257,8 +279,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, bands:
     found = [verify(more, docs, key, text, k, percent)] if more.head(1) else []
     crowded = open_.filter(F.col("size") > SMALL_BUCKET)
     if crowded.head(1):
-        own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(crowded.select("rep").distinct().hint("merge"), "rep").join(reps.hint("merge"), "rep").groupBy("rep").agg(*[F.any_value(c).alias(c) for c in ("n", "sig", "t")])
-        dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(crowded.select("rep").distinct().hint("merge"), "rep").dropDuplicates(["rep", "t"])
+        own = scratch.write(texts.join(reps.hint("merge"), "rep"), "crowded-texts")
+        weights = crowded.join(own.groupBy("rep").agg(F.sum("n").alias("n")).hint("merge"), "rep").groupBy("bucket").agg(F.sum("n").alias("n"))
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES))
+        dealt = crowded.join(weights.hint("merge"), "bucket").withColumn("blocks", blocks).drop("n").withColumn("side", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         many = dealt.select("bucket", "rep", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(own.hint("merge"), "rep")
         found.append(many.groupBy("bucket", "i", "j").applyInArrow(_across(least, percent, k), "a long, b long"))
     if found:

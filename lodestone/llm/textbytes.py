@@ -6,6 +6,7 @@ megabytes of text, or one document if that is longer.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time, within a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
+#: Words of at most so many bytes are named by these bytes themselves.
+_SHORT = 7
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -63,6 +66,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """Two 64-bit halves of a cryptographic digest of each string: strings can't be made to share them."""
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), "<i8").reshape(-1, 2)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash's factor, and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
@@ -91,12 +99,22 @@ class Words:
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.counts = np.bincount(self.doc, minlength=len(offsets) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        if len(self.start):
-            up, down = powers(len(data))
-            self.hash = mix(np.add.reduceat(value * up, self.start) * down[self.start])
-        else:
-            self.hash = np.zeros(0, np.uint64)
-        self._value = value
+        self._low = np.zeros(len(data) + 8, np.uint8)
+        np.subtract(value, 1, out=self._low[: len(data)], casting="unsafe")
+        self.hash = self._names()
+
+    def _names(self) -> np.ndarray:
+        """Short words are their own names, with their lengths; the names of longer ones are cryptographic digests."""
+        size = (self.end - self.start).astype(np.uint64)
+        packed = np.ndarray((len(self._low) - 7,), "<u8", self._low, 0, (1,))[self.start]
+        names = mix(packed & ((np.uint64(1) << np.uint64(8) * np.minimum(size, np.uint64(_SHORT))) - np.uint64(1)) | size << np.uint64(56))
+        long = np.flatnonzero(size > _SHORT)
+        raw = self._low.tobytes() if len(long) else b""
+        words = [raw[a:b] for a, b in zip(self.start[long].tolist(), self.end[long].tolist(), strict=True)]
+        known = list(set(words))
+        name_of = dict(zip(known, digests(known)[:, 0].tolist(), strict=True))
+        names[long] = np.fromiter(map(name_of.__getitem__, words), np.int64, len(words)).view(np.uint64)
+        return names
 
     def window_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """For each window of ``size`` words within a document, its first word and its hash."""
@@ -112,7 +130,7 @@ class Words:
 
     def text(self, first: int, last: int) -> bytes:
         """Words ``first`` to ``last`` in lower case, joined by one space."""
-        return b" ".join((self._value[a:b] - 1).astype(np.uint8).tobytes() for a, b in zip(self.start[first:last], self.end[first:last], strict=True))
+        return b" ".join(self._low[a:b].tobytes() for a, b in zip(self.start[first:last], self.end[first:last], strict=True))
 
 
 def sequence_hash(hashes: np.ndarray) -> np.uint64:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _held: list[tuple[Hashable, Any]] = []
 
 
@@ -18,7 +21,16 @@ def keep(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def drop() -> None:
-    """Forgets the kept object."""
+    """Forgets the kept object, and hands freed memory back to the system."""
     if _held:
         _held.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system: an interpreter's heap doesn't shrink by itself."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if release:
+        release(0)

@@ -86,6 +86,41 @@ def test_null_ids_and_empty(spark):
     assert M.near_duplicates(frame.limit(0)).count() == 0
 
 
+def twins(n=1024, a="a", b="b"):
+    """Two strings that every polynomial hash modulo 2**64 takes for equal."""
+    bits = [k.bit_count() % 2 for k in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_twins_are_told_apart(spark):
+    x, y = twins()
+    docs = [(1, x), (2, y), (3, x.upper()), (4, f"one two three {x} four"), (5, f"one two three {y} four")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(M.near_duplicates(frame)) == brute(docs, 80)
+    assert {r[2] for r in brute(docs, 80)} == {1, 2, 4, 5}
+
+
+def test_words_are_named_by_their_text():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab\0é", k=rng.randrange(1, 11))) for _ in range(3000)] + ["abcdefg", "abcdefgh", "ABCDEFGH", "x" * 500, "a\0", "a"]
+    data, offsets = utf8(pa.array([" ".join(texts)]))
+    names = Words(data, offsets, SPACE_SPLIT).hash.tolist()
+    assert len(names) == len(texts)
+    plain = [t.translate(lower) for t in texts]
+    assert len(set(zip(names, plain, strict=True))) == len(set(names)) == len(set(plain))
+
+
+@pytest.mark.parametrize("small", [2, 16])
+def test_one_id_with_several_texts(spark, monkeypatch, small):
+    """Such a document is linked by any of its texts; each row keeps its own set's size."""
+    monkeypatch.setattr(M, "SMALL_BUCKET", small)
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "alone"), (4, None), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS a", "1 AS b", "2 AS rep", "3 AS t")
+    want = [(1, 36, 1, True)] * 2 + [(2, 37, 1, False), (3, 37, 1, False), (4, 0, 4, True), (4, 0, 4, True), (4, 1, 4, True)]
+    assert result(M.near_duplicates(frame)) == want
+
+
 def test_query_against_brute_force(spark):
     root = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
