@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by merge replay over a corpus of words.
+"""Byte-level BPE encoding and decoding by merge replay over the words of a slice of the corpus.
 
 A task cuts the texts of a slice into the pattern's pieces, and replays the
 merges over the distinct pieces it has not met yet, all at once: an inverted
@@ -7,8 +7,12 @@ lowest rank is applied at all its places at once, and only the neighbours of
 changed places enter the index anew. A piece costs what its own merges cost,
 however long it is. A worker keeps known pieces up to a bound, then forgets them.
 
-Nothing is shuffled. Defined cases: null and empty texts have no tokens; ids
-that the vocabulary lacks can't be decoded and raise ``ValueError``.
+Nothing is shuffled. Defined cases: null and empty texts have no tokens, and the
+digests of nothing; ids that the vocabulary lacks can't be decoded and raise
+``ValueError``; of pairs of one rank that share a token the left one is joined;
+repeated rows get equal results, a null id is an id like others, and an empty
+table gives no rows. Other columns are not looked at, whatever their names; a
+key named like a result column raises ``AnalysisException``.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ from lodestone.llm import worker
 from lodestone.llm.textbytes import slices
 
 #: Bytes of pieces a task remembers before it starts afresh.
-KNOWN_BYTES = 64 << 20
+KNOWN_BYTES = 16 << 20
 #: Bytes of text whose new pieces are replayed together.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -151,7 +155,7 @@ class Encoder:
             self._size, new = 0, set().union(*cut)
         new = list(new)
         self._known.update(zip(new, replay([p.encode() for p in new], self._vocabulary), strict=True))
-        self._size += sum(200 + 8 * len(p) for p in new)
+        self._size += sum(250 + 8 * len(p) for p in new)
         known = self._known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 

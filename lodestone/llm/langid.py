@@ -16,9 +16,11 @@ words at most, by the smallest hashes, from anywhere in the texts. Half of them
 labels, so that transitions are learned from switches too. Prediction covers all
 words of all texts, in one pass without a shuffle.
 
-Defined cases: a null text or one without letters is ``und`` with score 0;
-without any labelled words every text is ``und``; equal means go to the label
-that sorts first; repeated rows get equal results.
+Defined cases: a null or empty text, or one without letters, is ``und`` with
+score 0; without any labelled words, as in an empty table, every text is
+``und``; a null label is no label; equal means go to the label that sorts first;
+repeated rows get equal results, and a null id is an id like others. ``keep``
+carries all columns along, whatever their names; nothing else looks at them.
 """
 
 from __future__ import annotations
@@ -44,8 +46,11 @@ TABLE = 1 << 18
 LEXICON = 20_000
 STEPS = 60
 UND = "und"
-#: Words and features that a worker remembers before it starts afresh.
-KNOWN_WORDS = 200_000
+#: Words that a worker remembers before it starts afresh, and the bytes of text that it labels together.
+KNOWN_WORDS = 50_000
+SLICE = 1 << 20
+#: Training blocks of all labels together, which bound what the driver holds; beyond 13 labels each gets fewer.
+ALL_BLOCKS = 40_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 
 
@@ -191,9 +196,11 @@ def training_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     driver has the documented bounds, whatever the number of rows.
     """
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("id")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    shares = [x for r in labelled.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(min(1.0, DOCUMENTS / r["count"])))]
-    if not shares:
+    rows = labelled.groupBy("lang").count().collect()
+    if not rows:
         return []
+    blocks = max(1, min(blocks, ALL_BLOCKS // len(rows)))
+    shares = [x for r in rows for x in (F.lit(r["lang"]), F.lit(min(1.0, DOCUMENTS / r["count"])))]
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.create_map(*shares)[F.col("lang")] * (1 << 30)
     labelled = labelled.filter(drawn)
 
@@ -228,7 +235,7 @@ class Tagger:
     def __init__(self, model: Model):
         self.model = model
         self._place: dict[str, int] = {}
-        self._emit = np.zeros((0, len(model.labels)))
+        self._emit = np.zeros((1024, len(model.labels)), np.float32)
 
     def tag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities of the words of all texts, and each text's number of words."""
@@ -236,15 +243,20 @@ class Tagger:
         new = list(dict.fromkeys(w for ws in words for w in ws if w not in self._place))
         if len(new) + len(self._place) > KNOWN_WORDS:
             self._place.clear()
-            self._emit, new = self._emit[:0], list(dict.fromkeys(w for ws in words for w in ws))
+            new = list(dict.fromkeys(w for ws in words for w in ws))
         if new:
-            self._place.update(zip(new, range(len(self._place), len(self._place) + len(new)), strict=True))
-            self._emit = np.concatenate([self._emit, emissions(self.model, new)])
+            held = len(self._place)
+            self._place.update(zip(new, range(held, held + len(new)), strict=True))
+            if len(self._place) > len(self._emit):
+                self._emit = np.concatenate([self._emit[:held], np.zeros((2 * len(self._place) - held, self._emit.shape[1]), np.float32)])
+            for k in range(0, len(new), 5000):
+                part = new[k : k + 5000]
+                self._emit[held + k : held + k + len(part)] = emissions(self.model, part)
         sizes = np.array([len(ws) for ws in words], np.int64)
         token = np.fromiter((self._place[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
         if not len(token):
             return np.zeros((0, len(self.model.labels))), sizes
-        return marginals(self._emit[token], sizes[sizes > 0], self.model.moves, self.model.start)[0], sizes
+        return marginals(self._emit[token].astype(np.float64), sizes[sizes > 0], self.model.moves, self.model.start)[0], sizes
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """The language of each text, its mean probability, and the words' own certainty: the mean of their greatest probabilities."""
@@ -279,7 +291,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         own = tagger()
-        for rows, _, _ in slices(batches, text):
+        for rows, _, _ in slices(batches, text, SLICE):
             names, scores = own.predict(rows.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
@@ -292,7 +304,7 @@ def keep(docs: DataFrame, model: Model, accept: list[str] | None = None, least:
 
     def run(batches):
         own = tagger()
-        for rows, _, _ in slices(batches, text):
+        for rows, _, _ in slices(batches, text, SLICE):
             names, _, sure = own.judge(rows.column(text).to_pylist())
             yield rows.filter(pa.array([(n in accept if accept is not None else n != UND) and s >= least for n, s in zip(names, sure, strict=True)], pa.bool_()))
 
@@ -305,7 +317,7 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         own = tagger()
-        for rows, _, _ in slices(batches, text):
+        for rows, _, _ in slices(batches, text, SLICE):
             p, sizes = own.tag(rows.column(text).to_pylist()) if own.model.labels else (None, [])
             out, at = [], 0
             for row, size in enumerate(sizes):

@@ -17,18 +17,24 @@ short lines from false links alone.
    crowded bucket returns only links that join groups.
 4. Links are united; equal lines are one class from the start by their hashes.
 
-Lines travel as 64-bit hashes while links are sought, and as 128-bit hashes
-where equal lines are grouped. Texts of candidates are fetched by a broadcast of
-their hashes while these are below ``BROADCAST_ROWS``, by a shuffle beyond it.
-
-Defined cases: a null text stays null and has no lines; documents with a null
-id neither lose lines nor cause losses; repeated rows are treated alike; lines
-below both floors, and short lines of white space alone, always stay.
-Characters are Unicode code points.
+Lines are named by the halves of a cryptographic digest: by 64 bits while links
+are sought, by all 128 where lines are grouped and removed. Buckets alone have
+plain hashes, since each pair in them is compared. Tables are broadcast while
+their bytes are below ``BROADCAST_BYTES``, and shuffled beyond it.
+
+Defined cases: a null text stays null and has no lines, an empty one has one
+empty line; documents with a null id neither lose lines nor cause losses; an
+empty table gives no rows. Rows with one id are parts of one document: of equal
+lines with one id and one number all stay if they are the first. Lines below
+both floors, and short lines of white space alone, always stay. Columns of the
+input stay whatever their names, but a column named like the ``gone`` parameter
+raises ``ValueError``. Characters are Unicode code points.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import worker
 from lodestone.llm.components import components
 from lodestone.llm.shared import Scratch
-from lodestone.llm.textbytes import mix, powers, slices
+from lodestone.llm.textbytes import digests, mix, powers, slices
 
 EDITS = 2
 MIN_CHARS = 30
@@ -47,8 +53,8 @@ SMALL_BUCKET = 16
 BLOCK = 512
 #: Lines of a block that are compared one by one before the others.
 HUBS = 8
-#: Rows of hashes that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 8 << 20
 #: Rows of a bucket that wait for the rest of it at most; a larger one passes whole.
 HELD_ROWS = 100_000
 _LINES_PER_BATCH = 20_000
@@ -72,20 +78,19 @@ class Lines:
         self.size = np.fromiter(map(len, self.text), np.int64, len(self.text))
         self.start = np.cumsum(self.size) - self.size
         self.codes = np.frombuffer("".join(self.text).encode("utf-32-le", "surrogatepass"), "<u4")
-        self._sums: dict[int, np.ndarray] = {}
+        self._sums: np.ndarray | None = None
 
-    def hash(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarray:
+    def hash(self, line: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Hashes of the substrings at ``at`` of these lines."""
         up, down = powers(len(self.codes) + 1)
-        if which not in self._sums:
-            codes = self.codes.astype(np.uint64) + np.uint64(1)
-            self._sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mix(codes) if which else codes) * up[:-1])])
+        if self._sums is None:
+            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[:-1])])
         a = self.start[line] + at
-        return mix((self._sums[which][a + size] - self._sums[which][a]) * down[a] + size.astype(np.uint64))
+        return mix((self._sums[a + size] - self._sums[a]) * down[a] + size.astype(np.uint64))
 
-    def whole(self, which: int = 0) -> np.ndarray:
-        every = np.arange(len(self.text))
-        return self.hash(every, np.zeros_like(every), self.size, which).view(np.int64)
+    def names(self) -> np.ndarray:
+        """Both halves of each line's digest."""
+        return digests([x.encode("utf-8", "surrogatepass") for x in self.text])
 
 
 def bucket_keys(lines: Lines, pick: np.ndarray, edits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +187,7 @@ def _keyed(text: str, edits: int, least: int):
         for rows, _, _ in slices(batches, text):
             lines = Lines(rows.column(text).to_pylist(), least)
             if lines.text:
-                ids = lines.whole()
+                ids = lines.names()[:, 0]
                 line, bucket, indexed = bucket_keys(lines, np.unique(ids, return_index=True)[1], edits, least)
                 yield from _batches([bucket, ids[line], indexed], ["bucket", "id", "indexed"])
 
@@ -228,13 +233,14 @@ def _shared(batches):
 
 
 def _texts(text: str, least: int, wanted=None):
-    """Hash and text of each line, of those wanted (a broadcast of sorted hashes) if that is given."""
+    """Name and text of each line, of those wanted (a broadcast of sorted hashes) if that is given."""
 
     def run(batches):
         for rows, _, _ in slices(batches, text):
             lines = Lines(rows.column(text).to_pylist(), least)
-            ids = lines.whole() if lines.text else np.zeros(0, np.int64)
-            pick = np.unique(ids, return_index=True)[1]
+            names = lines.names()
+            ids = names[:, 0]
+            pick = np.unique(names, axis=0, return_index=True)[1] if len(ids) else np.zeros(0, np.int64)
             if wanted is not None and len(wanted.value):
                 at = np.minimum(np.searchsorted(wanted.value, ids[pick]), len(wanted.value) - 1)
                 pick = pick[wanted.value[at] == ids[pick]]
@@ -242,7 +248,7 @@ def _texts(text: str, least: int, wanted=None):
                 pick = pick[:0]
             for k in range(0, len(pick), _LINES_PER_BATCH):
                 part = pick[k : k + _LINES_PER_BATCH]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([lines.text[p] for p in part.tolist()], pa.string())], ["id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(names[part, 1]), pa.array([lines.text[p] for p in part.tolist()], pa.string())], ["id", "h2", "line"])
 
     return run
 
@@ -306,36 +312,41 @@ def _crowded(edits: int):
     return run
 
 
-def _bounded(frame: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if it is small enough, else for a shuffle."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame.hint("merge")
+def _bounded(frame: DataFrame, extra=None) -> DataFrame:
+    """The frame, marked for broadcast if its bytes (of a row's columns, and ``extra``) are few enough, else for a shuffle."""
+    width = F.lit(32 + 16 * len(frame.columns)) + (F.lit(0) if extra is None else extra)
+    return F.broadcast(frame) if frame.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0] <= BROADCAST_BYTES else frame.hint("merge")
 
 
 def line_links(docs: DataFrame, scratch: Scratch, text: str, edits: int, least: int) -> DataFrame:
-    """``node, root``: for each line within reach of another, by hash, the smallest hash of its group."""
+    """``h1, h2, root``: for each line linked with another, by the halves of its name, the smallest first half of its group."""
     keyed = docs.select(text).mapInArrow(_keyed(text, edits, least), "bucket long, id long, indexed boolean")
     open_ = scratch.write(keyed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_shared, "bucket long, id long, indexed boolean").groupBy("bucket", "id").agg(F.max("indexed").alias("indexed")), "buckets")
     sizes = scratch.write(open_.groupBy("bucket").agg(F.count("*").alias("size")), "sizes")
     sized = open_.join(sizes.hint("merge"), "bucket")
     ids = scratch.write(open_.select("id").distinct(), "ids")
-    if ids.count() <= BROADCAST_ROWS:
+    if ids.count() * 8 <= BROADCAST_BYTES:
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
-        lines = docs.select(text).mapInArrow(_texts(text, least, wanted), "id long, line string")
+        lines = docs.select(text).mapInArrow(_texts(text, least, wanted), "id long, h2 long, line string")
     else:
-        lines = docs.select(text).mapInArrow(_texts(text, least), "id long, line string").join(ids.hint("merge"), "id", "left_semi")
-    texts = scratch.write(lines.groupBy("id").agg(F.first("line").alias("line")), "texts")
+        lines = docs.select(text).mapInArrow(_texts(text, least), "id long, h2 long, line string").join(ids.hint("merge"), "id", "left_semi")
+    # Of two lines with one 64-bit name, which chance brings about once in 2**64 pairs, the one with the smaller digest is compared.
+    texts = scratch.write(lines.groupBy("id").agg(F.min(F.struct("h2", "line")).alias("x")).select("id", "x.h2", "x.line"), "texts")
+    body = texts.select("id", "line")
 
     few = sized.filter(F.col("size") <= SMALL_BUCKET)
     one, two = few.filter("indexed").select("bucket", F.col("id").alias("x")), few.select("bucket", F.col("id").alias("y"))
     pairs = one.join(two.hint("merge"), "bucket").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    shown = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")).hint("merge"), "b")
+    shown = pairs.join(body.select(F.col("id").alias("a"), F.col("line").alias("line_a")).hint("merge"), "a").join(body.select(F.col("id").alias("b"), F.col("line").alias("line_b")).hint("merge"), "b")
     links = shown.select("a", "b", "line_a", "line_b").mapInArrow(_verified(edits), "a long, b long")
     many = sized.filter(F.col("size") > SMALL_BUCKET)
     if many.head(1):
         dealt = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", "id", "indexed", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(texts.hint("merge"), "id")
+        dealt = dealt.select("bucket", "id", "indexed", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(body.hint("merge"), "id")
         links = links.unionByName(dealt.groupBy("bucket", "i", "j").applyInArrow(_crowded(edits), "a long, b long"))
-    return components(scratch.write(links, "links"), scratch)
+    united = components(scratch.write(links, "links"), scratch)
+    every = united.unionByName(united.select(F.col("root").alias("node"), "root").distinct())
+    return scratch.write(every.join(texts.select(F.col("id").alias("node"), "h2").hint("merge"), "node").select(F.col("node").alias("h1"), "h2", "root"), "linked")
 
 
 def _occurrences(key: str, text: str, least: int, equal: int | None):
@@ -344,19 +355,19 @@ def _occurrences(key: str, text: str, least: int, equal: int | None):
             lines = Lines(rows.column(text).to_pylist(), least, equal)
             if lines.text:
                 own = rows.column(key).cast(pa.int64()).to_numpy()[lines.doc]
-                yield from _batches([own, lines.number, lines.whole(0), lines.whole(1)], ["doc_id", "line_no", "h1", "h2"])
+                yield from _batches([own, lines.number, *lines.names().T], ["doc_id", "line_no", "h1", "h2"])
 
     return run
 
 
-def _without(text: str):
+def _without(text: str, gone: str):
     def run(batches):
         for rows, _, _ in slices(batches, text):
             kept = []
-            for body, gone in zip(rows.column(text).to_pylist(), rows.column("_gone").to_pylist(), strict=True):
-                if body is not None and gone:
-                    gone = set(gone)
-                    body = "\n".join(x for k, x in enumerate(body.split("\n")) if k not in gone)
+            for body, numbers in zip(rows.column(text).to_pylist(), rows.column(gone).to_pylist(), strict=True):
+                if body is not None and numbers:
+                    numbers = set(numbers)
+                    body = "\n".join(x for k, x in enumerate(body.split("\n")) if k not in numbers)
                 kept.append(body)
             at = rows.schema.get_field_index(text)
             yield rows.set_column(at, rows.schema.field(at), pa.array(kept, rows.schema.field(at).type))
@@ -364,25 +375,27 @@ def _without(text: str):
     return run
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str = "doc_id", text: str = "text", equal: int | None = None) -> DataFrame:
-    """The documents, all columns, without lines that repeat an earlier line; ``_gone`` names the removed line numbers.
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str = "doc_id", text: str = "text", equal: int | None = None, gone: str = "_gone") -> DataFrame:
+    """The documents, all columns, without lines that repeat an earlier line; ``gone`` names the removed line numbers.
 
     ``equal`` is the floor for equal lines, ``least`` if it is None.
     """
+    if gone in docs.columns:
+        raise ValueError(f"the documents have a column {gone!r} already")
     scratch = Scratch(docs.sparkSession, "lines")
-    known = docs.filter(F.col(key).isNotNull()).select(key, text)
-    united = line_links(known, scratch, text, edits, least)
-    found = known.mapInArrow(_occurrences(key, text, least, equal), "doc_id long, line_no long, h1 long, h2 long")
-    linked = united.withColumnRenamed("node", "h1")
-    found = found.join(_bounded(linked), "h1", "left").select("doc_id", "line_no", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("h2"), "h1")
-    # A group's root has no entry of its own in the forest; its members are led to it by their first hash alone.
-    roots = linked.select(F.col("root").alias("c1")).distinct().withColumn("grouped", F.lit(True))
-    found = scratch.write(found.join(_bounded(scratch.write(roots, "roots")), "c1", "left").select("doc_id", "line_no", "c1", F.when(F.col("grouped"), F.lit(0)).otherwise(F.col("h2")).alias("c2")), "lines")
-    first = scratch.write(found.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")), "first")
-    repeats = found.join(first.hint("merge"), ["c1", "c2"]).filter("doc_id <> d OR line_no <> l")
-    gone = scratch.write(repeats.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_key"), "gone")
-    marked = docs.join(_bounded(gone), F.col(key) == F.col("_key"), "left").drop("_key")
-    return marked.mapInArrow(_without(text), marked.schema)
+    known = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    linked = line_links(known, scratch, "text", edits, least)
+    found = known.mapInArrow(_occurrences("doc_id", "text", least, equal), "doc_id long, line_no long, h1 long, h2 long")
+    # A linked line's class is its group's root, any other line's its own name.
+    classed = found.join(_bounded(linked), ["h1", "h2"], "left").select("doc_id", "line_no", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("c2"), F.col("root").isNotNull().alias("grouped"))
+    found = scratch.write(classed.withColumn("c2", F.coalesce("c2", F.lit(0))), "lines")
+    by = ["c1", "c2", "grouped"]
+    first = scratch.write(found.groupBy(*by).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(*by, F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")), "first")
+    repeats = found.join(first.hint("merge"), by).filter("doc_id <> d OR line_no <> l")
+    own = f"_{uuid.uuid4().hex}"
+    removed = scratch.write(repeats.groupBy(F.col("doc_id").alias(own)).agg(F.array_sort(F.collect_set("line_no")).alias(gone)), "gone")
+    marked = docs.join(_bounded(removed, 8 * F.size(gone)), F.col(key) == F.col(own), "left").drop(own)
+    return marked.mapInArrow(_without(text, gone), marked.schema)
 
 
 def counts(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, key: str = "doc_id", text: str = "text", equal: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from lodestone.llm import lines as L
 from lodestone.llm import registry
-from tests.llm.test_minhash import roots
+from tests.llm.test_minhash import roots, twins
 
 
 def distance(a, b):
@@ -93,12 +93,12 @@ def test_groups(spark, monkeypatch, edits, small, bound):
     monkeypatch.setattr(L, "SMALL_BUCKET", small)
     monkeypatch.setattr(L, "BLOCK", 3)
     monkeypatch.setattr(L, "HUBS", 1)
-    monkeypatch.setattr(L, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", bound)
     rng = random.Random(edits * 10 + small)
     pool = [x for _ in range(14) for x in family(rng, rng.randrange(1, 9))] + ["short", "", "ab"]
     docs = [(k * 3, "\n".join(rng.choices(pool, k=rng.randrange(1, 7)))) for k in range(40)]
     docs += [(500, None), (501, ""), (502, "\n\n"), (None, pool[0]), (None, None), (503, "long " * 4000), (504, "long " * 4000 + "x"), (0, docs[0][1])]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS id", "1 AS line_no").repartition(5)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS id", "1 AS line_no", "2 AS _key", "3 AS root", "4 AS h1").repartition(5)
     assert sorted(map(tuple, L.counts(frame, edits, 12).collect()), key=str) == brute(docs, edits, 12)
     kept = L.dedup(frame, edits, 12)
     assert kept.columns == [*frame.columns, "_gone"] and kept.count() == len(docs)
@@ -147,24 +147,27 @@ def test_query_against_brute_force(spark):
     root = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
     got = sorted(map(tuple, registry.op3_line_dedup(spark, root).collect()), key=str)
-    texts = {x for _, t in docs for x in t.split("\n")}
-    near = {x for x in texts if len(x) >= L.MIN_CHARS}
-    assert got == brute_quick(docs, near)
+    assert got == brute_quick(docs, {x for _, t in docs for x in t.split("\n")})
 
 
-def test_query_counts_short_repeats(spark):
-    """As above; short lines stand in the brute force as long ones that are far from all others."""
-    root = "/root/testdata/sf0.001"
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
-    spread = lambda x: x if len(x) >= L.MIN_CHARS or not x.strip() else hashlib.sha256(x.encode()).hexdigest()
-    long = [(d, "\n".join(map(spread, t.split("\n")))) for d, t in docs]
-    want = [r[:3] for r in brute_quick(long, {x for _, t in long for x in t.split("\n") if len(x) >= L.MIN_CHARS})]
-    assert sorted((tuple(r)[:3] for r in registry.op3_line_dedup(spark, root).collect()), key=str) == sorted(want, key=str)
+def test_twins_are_told_apart(spark):
+    """Lines that a polynomial hash modulo 2**64 takes for equal."""
+    x, y = twins()
+    docs = [(1, f"{x}\n{y}"), (2, f"{y}\n{x}\nown line")]
+    got = {r.doc_id: r.n_removed for r in L.counts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 2}
+
+
+def test_column_in_the_way(spark):
+    frame = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, _gone int")
+    with pytest.raises(ValueError, match="_gone"):
+        L.dedup(frame)
+    assert L.dedup(frame, gone="removed").columns == ["doc_id", "text", "_gone", "removed"]
 
 
-def brute_quick(docs, lines):
-    """As ``brute``, with distances only between lines of similar lengths that share a third of one."""
-    by = {}
+def brute_quick(docs, every):
+    """The query's result: distances only between long lines of similar lengths that share a third of one; short lines but blank ones go if they are equal."""
+    by, lines = {}, {x for x in every if len(x) >= L.MIN_CHARS}
     for x in lines:
         for n in range(len(x) - L.EDITS, len(x) + L.EDITS + 1):
             by.setdefault(n, []).append(x)
@@ -172,15 +175,15 @@ def brute_quick(docs, lines):
     for x in lines:
         thirds = {x[: len(x) // 3], x[len(x) // 3 : 2 * len(x) // 3], x[2 * len(x) // 3 :]}
         links += [(x, y) for y in by.get(len(x), ()) if x < y and any(t in y for t in thirds) and within(x, y, L.EDITS)]
-    root = roots(lines, links)
+    root = roots(lines, links) | {x: x for x in every if len(x) < L.MIN_CHARS and x.strip()}
     first = {}
     for d, t in sorted(docs):
         for k, x in enumerate(t.split("\n")):
-            if x in lines:
+            if x in root:
                 first.setdefault(root[x], (d, k))
     out = []
     for d, t in docs:
         own = t.split("\n")
-        kept = [x for k, x in enumerate(own) if x not in lines or first[root[x]] == (d, k)]
+        kept = [x for k, x in enumerate(own) if x not in root or first[root[x]] == (d, k)]
         out.append((d, len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=str)
