@@ -1,8 +1,8 @@
 """A training corpus from ``documents``, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
-last return the columns of ``documents``. Stages work on whatever their
-predecessors kept.
+last return the columns of ``documents``, and further ones whatever their names.
+Stages work on whatever their predecessors kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,26 +27,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines, and documents that had nothing else."""
-    kept = lines.dedup(docs, equal=lines.EQUAL_CHARS)
-    gone = F.col("_gone").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return kept.filter(~gone | F.col("text").isNull()).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Removes repeated lines, and documents that had nothing else; a null text and an empty one stay."""
+    gone = "_gone"
+    while gone in docs.columns:
+        gone += "_"
+    kept = lines.dedup(docs, equal=lines.EQUAL_CHARS, gone=gone)
+    emptied = F.col(gone).isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    return kept.filter(~emptied | F.col("text").isNull()).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group; those without an id stay."""
+    """Keeps the document with the smallest id of each near-duplicate group.
+
+    Rows without an id stay. Of rows with one id that with the longest text
+    stays, and of equally long ones that with the greatest columns.
+    """
     kept = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    known = docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    one = known.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("_"), F.struct(*docs.columns).alias("row"))).alias("x")).select("x.row.*")
+    return one.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that the benchmark contaminates."""
+    """Removes documents that the benchmark contaminates; without words, or with an empty benchmark, a document stays."""
     return decontamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256``: the tokens, and proof that they decode to the text."""
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256``: the tokens, and proof that they decode to the text. A null text has none."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
