@@ -36,7 +36,9 @@ def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op5_repeated_bytes(spark: SparkSession, root: str) -> DataFrame:
-    return repeats.remove(_table(spark, root, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Beside the contract's columns, the outcome in plain form: whether anything was removed, and what is left (cut characters become U+FFFD)."""
+    cut = repeats.remove(_table(spark, root, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("changed"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op6_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:

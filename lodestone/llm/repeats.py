@@ -8,19 +8,25 @@ else, in the same text or another, is removed. Strings never cross texts.
    compared under one anchor. Neighbouring windows of one anchor make a run; a
    run's bytes are its piece.
 2. Runs are shuffled by anchor and read as a sorted stream; runs under an anchor
-   that occurs once are done. Of equal pieces one goes on, with their number.
+   that occurs once are done. Of equal pieces, by a 128-bit cryptographic digest,
+   one goes on: all windows of the others are repeated.
 3. The different pieces of an anchor are suffix-sorted together, many anchors at
    a time: windows smaller than the next window are sorted directly, the others
    are induced from their successors by one scan over the buckets of first
-   bytes. Neighbours in this order with a common prefix of LENGTH are repeated,
-   and so is every window of a piece that occurs twice. Anchors with more than
-   ``CROWD`` different pieces don't go to one task: hashes of their windows are
-   counted instead, with partial sums.
+   bytes. Neighbours in this order with a common prefix of LENGTH are repeated.
+   Anchors with more than ``CROWD`` different pieces are split first: windows go
+   by the part of the window that the anchor stands in, and by all bytes around
+   the anchor that every window of that part holds. Equal windows stay together,
+   parts are halved until no group is crowded, and at the last step a group
+   holds one window.
 4. Repeated windows are gathered by text and cut out of it.
 
-Texts are named by 64-bit hash and length, so equal texts are handled alike,
-whatever their ids: repeated rows are copies of each other. Defined cases: a
-null text is empty; texts shorter than LENGTH lose nothing.
+Texts are named by 128-bit cryptographic digests, so equal texts are handled
+alike, whatever their ids: repeated rows are copies of each other. Defined
+cases: a null or empty text has no bytes and loses none; texts shorter than
+LENGTH lose nothing; a null id is an id like others; an empty table gives no
+rows; of equal anchors in a window the leftmost counts, which changes no result.
+Columns other than the key and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,34 +40,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import worker
 from lodestone.llm.shared import Scratch
-from lodestone.llm.textbytes import mix, powers, slices, utf8
+from lodestone.llm.textbytes import digests, mix, powers, slices, utf8
 
 LENGTH = 400
 GRAM = 64
-CROWD = 4096
+#: Different pieces of an anchor that are sorted in one place at most.
+CROWD = 512
 #: Windows sorted together.
-SORTED = 200_000
+SORTED = 100_000
 _PLACE = np.uint64((1 << 28) - 1)
-_SECOND = (0xC2B2AE3D27D4EB4F, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
-_RUN = "anchor long, t long, size long, first long, n long, h1 long, h2 long, times long"
+_RUN = "anchor long, t long, u long, first long, n long, d long, h1 long, h2 long, times long"
+_PART = "anchor long, t long, u long, first long, n long, d long, h1 long, h2 long, piece binary"
 _RANGES = "array<struct<lo: long, hi: long>>"
 
 
-class Hashes:
-    """Hashes of any substring of a slice of bytes."""
-
-    def __init__(self, data: np.ndarray, second: bool = False):
-        up, self._down = powers(len(data) + 1)
-        if second:
-            up, self._down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), f, np.uint64)])) for f in _SECOND)
-        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self._sums[b] - self._sums[a]) * self._down[a] + (b - a).astype(np.uint64))
-
-    def grams(self, k: int) -> np.ndarray:
-        return mix((self._sums[k:] - self._sums[:-k]) * self._down[: len(self._sums) - k])
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` bytes. They choose anchors only; equality is never decided by them."""
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+    return mix((sums[k:] - sums[:-k]) * down[: len(sums) - k])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -71,18 +70,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: len(x) - width + 1], ahead[width - 1 : len(x)])
 
 
-def names(hashes: Hashes, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text."""
-    return hashes.of(offsets[:-1], offsets[1:]).view(np.int64)
+def names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The two halves of each text's digest."""
+    raw = data.tobytes()
+    return digests([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
 
 
 def _runs(text: str, length: int, gram: int):
     def run(batches):
+        worker.drop()
         for _, data, offsets in slices(batches, text):
             if len(data) < length:
                 continue
-            one, two = Hashes(data), Hashes(data, second=True)
-            grams = one.grams(gram)
+            grams = gram_hashes(data, gram)
             # Where upper bits of hashes tie, the leftmost is taken, which depends on the window alone, too.
             least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64) & _PLACE, length - gram + 1)
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -93,16 +93,17 @@ def _runs(text: str, length: int, gram: int):
             head = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
             first, last = start[head], start[np.append(head[1:], len(start)) - 1]
             own = doc[first]
-            anchor, t, place = grams[at[head]], names(one, offsets)[own], first - offsets[own]
-            h1, h2 = one.of(first, last + length), two.of(first, last + length)
+            anchor, place, raw = grams[at[head]], first - offsets[own], data.tobytes()
+            t, u = names(data, offsets)[own].T
+            h1, h2 = digests([raw[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]).T
             # Of equal pieces one goes on with their number. The others are known to be repeated, and spread over all tasks.
             order = np.lexsort((h2, h1, anchor))
             new = np.ones(len(order), bool)
             new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
             times = np.zeros(len(order), np.int64)
             times[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
-            anchor = np.where(times > 0, anchor, mix(t.view(np.uint64) + place.astype(np.uint64)))
-            columns = [anchor.view(np.int64), t, np.diff(offsets)[own], place, last - first + 1, h1.view(np.int64), h2.view(np.int64), times]
+            anchor = np.where(times > 0, anchor, mix(t.astype(np.uint64) + place.astype(np.uint64)))
+            columns = [anchor.view(np.int64), t, u, place, last - first + 1, at[head] - first, h1, h2, times]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [x.split()[0] for x in _RUN.split(", ")])
 
     return run
@@ -266,7 +267,7 @@ def _sorted(length: int):
                 part = table.slice(begin, stop - begin)
                 found = [_ranges(flags[offsets[begin + k] - offsets[begin] : offsets[begin + k + 1] - offsets[begin]]) for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).combine_chunks() for c in ("t", "size", "first")), pa.array(found, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["t", "size", "first", "ranges"]
+                    [*(part.column(c).combine_chunks() for c in ("t", "u", "first")), pa.array(found, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["t", "u", "first", "ranges"]
                 )
                 begin = stop
 
@@ -275,41 +276,51 @@ def _sorted(length: int):
 
 def _cut(text: str):
     """Pieces out of texts that are joined with the runs wanted of them."""
+    kinds = [pa.int64()] * 8 + [pa.binary()]
 
     def run(batches):
         for rows, data, offsets in slices(batches, text):
-            t, out = rows.column("t").to_pylist(), []
-            for d, wanted in enumerate(rows.column("wanted").to_pylist()):
-                body = data[offsets[d] : offsets[d + 1]]
-                out += [(w["anchor"], t[d], len(body), w["first"], body[w["first"] : w["first"] + w["bytes"]].tobytes()) for w in wanted]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], ["anchor", "t", "size", "first", "piece"])
+            names_, out = zip(rows.column("t").to_pylist(), rows.column("u").to_pylist(), strict=True), []
+            for d, ((t, u), wanted) in enumerate(zip(names_, rows.column("wanted").to_pylist(), strict=True)):
+                body = data[offsets[d] : offsets[d + 1]].tobytes()
+                out += [(w["anchor"], t, u, w["first"], w["n"], w["d"], w["h1"], w["h2"], body[w["first"] : w["first"] + w["bytes"]]) for w in wanted]
+            for k in range(0, len(out), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out[k : k + 5000], strict=True), kinds, strict=True)], [x.split()[0] for x in _PART.split(", ")])
 
     return run
 
 
-def _window_hashes(length: int):
+def _split(length: int, gram: int, level: int):
+    """Pieces cut by where in the window the anchor stands, under names of the bytes that all windows of a part hold around it."""
+    places, parts = length - gram + 1, 1 << level
+    edges = [places * k // parts for k in range(parts + 1)]
+    kinds = [pa.int64()] * 8 + [pa.binary()]
+
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                data, offsets = utf8(part.column("piece"))
-                one, two = Hashes(data), Hashes(data, second=True)
-                n = np.diff(offsets) - length + 1
-                row = np.repeat(np.arange(part.num_rows), n)
-                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = offsets[row] + inside
-                pick = lambda c: part.column(c).to_numpy()[row]  # noqa: E731, B023
-                columns = [one.of(at, at + length).view(np.int64), two.of(at, at + length).view(np.int64), pick("t"), pick("size"), pick("first") + inside]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w1", "w2", "t", "size", "at"])
+            for start in range(0, batch.num_rows, 1000):
+                out = []
+                for row in batch.slice(start, 1000).to_pylist():
+                    piece, n, d = row["piece"], row["n"], row["d"]
+                    for k in range(bisect.bisect_right(edges, d - n + 1) - 1, bisect.bisect_right(edges, d)):
+                        low, high = max(edges[k], d - n + 1), min(edges[k + 1], d + 1)  # places of the anchor in windows of this part
+                        if low >= high:
+                            continue
+                        a, b = d - high + 1, d - low
+                        around = piece[d - edges[k] : d - edges[k + 1] + 1 + length]
+                        own = piece[a : b + length]
+                        name = int.from_bytes(hashlib.blake2b(around, digest_size=8, salt=k.to_bytes(4, "little")).digest(), "little", signed=True)
+                        out.append((name, row["t"], row["u"], row["first"] + a, b - a + 1, d - a, *digests([own])[0].tolist(), own))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _PART.split(", ")])
 
     return run
 
 
-def _named(text: str, keep: list[str]):
+def _named(text: str):
     def run(batches):
         for rows, data, offsets in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names(Hashes(data), offsets)), pa.array(np.diff(offsets).astype(np.int64))], [*rows.schema.names, "t", "size"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c) for c in names(data, offsets).T)], [*rows.schema.names, "t", "u"])
 
     return run
 
@@ -321,9 +332,9 @@ def _without(key: str, text: str, length: int):
             for d, ranges in enumerate(rows.column("ranges").to_pylist()):
                 body = data[offsets[d] : offsets[d + 1]]
                 edge = np.zeros(len(body) + 1, np.int64)
-                for r in ranges or ():
-                    edge[r["lo"]] += 1
-                    edge[r["hi"] + length - 1] -= 1
+                if ranges:
+                    np.add.at(edge, [r["lo"] for r in ranges], 1)
+                    np.add.at(edge, [r["hi"] + length - 1 for r in ranges], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
@@ -335,39 +346,54 @@ def _without(key: str, text: str, length: int):
     return run
 
 
+def _sizes(pieces: DataFrame) -> DataFrame:
+    """``anchor, kinds``: how many different pieces an anchor has, if more than one."""
+    return pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+
+
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256, kept binary`` for each document."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    runs = docs.select(text).mapInArrow(_runs(text, length, gram), _RUN).repartition("anchor").sortWithinPartitions("anchor")
+    kind = docs.schema[key].dataType.simpleString()
+    docs = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    runs = docs.select("_text").mapInArrow(_runs("_text", length, gram), _RUN).repartition("anchor").sortWithinPartitions("anchor")
     runs = scratch.write(runs.mapInArrow(_shared, _RUN), "runs")
     own = runs.filter("times > 0")
-    pieces = own.groupBy("anchor", "h1", "h2").agg(F.sum("times").alias("times"), F.min(F.struct("t", "size", "first", "n")).alias("one"))
-    pieces = scratch.write(pieces.select("anchor", "h1", "h2", "times", "one.*"), "pieces")
-    sizes = pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    same = ["anchor", "h1", "h2"]
+    pieces = own.groupBy(*same).agg(F.sum("times").alias("times"), F.min(F.struct("t", "u", "first", "n", "d")).alias("one"))
+    pieces = scratch.write(pieces.select(*same, "times", "one.*"), "pieces")
+    sizes = scratch.write(_sizes(pieces), "sizes")
     wanted = pieces.join(sizes.hint("merge"), "anchor")
-    by_text = wanted.groupBy("t", "size").agg(F.collect_list(F.struct("anchor", "first", (F.col("n") + length - 1).alias("bytes"), "kinds")).alias("wanted"))
+    by_text = wanted.groupBy("t", "u").agg(F.collect_list(F.struct("anchor", "first", "n", "d", "h1", "h2", (F.col("n") + length - 1).alias("bytes"))).alias("wanted"))
 
-    kind = docs.schema[key].dataType.simpleString()
-    named = docs.select(key, text).mapInArrow(_named(text, [key]), f"`{key}` {kind}, `{text}` string, t long, size long")
+    named = docs.mapInArrow(_named("_text"), f"_id {kind}, _text string, t long, u long")
     # Of equal texts one is enough, and tasks drop the others before the shuffle; which one doesn't matter.
-    having = named.select("t", "size", text).dropDuplicates(["t", "size"]).join(by_text.hint("merge"), ["t", "size"])
-    cut = having.mapInArrow(_cut(text), "anchor long, t long, size long, first long, piece binary")
-    crowds = scratch.write(sizes.filter(F.col("kinds") > CROWD).select("anchor"), "crowds")
-    some = crowds.head(1)
-    if some:
-        cut = scratch.write(cut, "cut")
-    usual = cut.join(crowds.hint("merge"), "anchor", "left_anti") if some else cut
-    ordered = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(length), f"t long, size long, first long, ranges {_RANGES}")
-    found = ordered.select("t", "size", "first", F.inline("ranges")).select("t", "size", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi"))
-    again = own.join(pieces.filter("times > 1").select("anchor", "h1", "h2").hint("merge"), ["anchor", "h1", "h2"]).unionByName(runs.filter("times = 0"))
-    whole = again.select("t", "size", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
-    parts = found.unionByName(whole)
-    if some:
-        windows = cut.join(crowds.hint("merge"), "anchor", "left_semi").mapInArrow(_window_hashes(length), "w1 long, w2 long, t long, size long, at long")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2")
-        crowd = windows.join(twice.hint("merge"), ["w1", "w2"]).select("t", "size", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
-        parts = parts.unionByName(crowd)
+    having = named.select("t", "u", "_text").dropDuplicates(["t", "u"]).join(by_text.hint("merge"), ["t", "u"])
+    cut = having.mapInArrow(_cut("_text"), _PART)
+    span = lambda rows: rows.select("t", "u", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
+    again = own.join(pieces.filter("times > 1").select(*same).hint("merge"), same).select(runs.columns).unionByName(runs.filter("times = 0"))
+    parts, level = [span(again)], 0
+    while True:
+        crowds = scratch.write(sizes.filter(F.col("kinds") > CROWD).select("anchor"), "crowds")
+        crowded = bool(crowds.head(1))
+        if crowded:
+            cut = scratch.write(cut, "cut")
+        usual = cut.join(crowds.hint("merge"), "anchor", "left_anti") if crowded else cut
+        ordered = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(length), f"t long, u long, first long, ranges {_RANGES}")
+        found = ordered.select("t", "u", "first", F.inline("ranges"))
+        parts.append(found.select("t", "u", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi")))
+        if not crowded:
+            break
+        level += 1
+        split = scratch.write(cut.join(crowds.hint("merge"), "anchor", "left_semi").mapInArrow(_split(length, gram, level), _PART), "split")
+        kinds = scratch.write(split.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("t", "u", "first")).alias("one")).select(*same, "times", "one.*"), "kinds")
+        parts.append(span(split.join(kinds.filter("times > 1").select(*same).hint("merge"), same)))
+        sizes = scratch.write(_sizes(kinds), "sizes")
+        cut = split.join(kinds.join(sizes.hint("merge"), "anchor").select(*same, "t", "u", "first").hint("merge"), [*same, "t", "u", "first"]).select(split.columns)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
     # Copies of a text bring the same ranges; without repeats a text has fewer of them than bytes.
-    marks = scratch.write(parts.distinct().groupBy("t", "size").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "marks")
-    marked = named.join(marks.hint("merge"), ["t", "size"], "left").select(key, text, "ranges")
-    return marked.mapInArrow(_without(key, text, length), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    marks = scratch.write(every.distinct().groupBy("t", "u").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "marks")
+    marked = named.join(marks.hint("merge"), ["t", "u"], "left").select(F.col("_id").alias(key), "_text", "ranges")
+    return marked.mapInArrow(_without(key, "_text", length), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -2,21 +2,19 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from lodestone.llm import registry
 from lodestone.llm import repeats as R
+from tests.llm.test_minhash import twins
 
 
 def brute(docs, length):
     texts = [(d, (t or "").encode()) for d, t in docs]
-    seen = {}
-    for _, t in texts:
-        for k in range(len(t) - length + 1):
-            w = hash(t[k : k + length])
-            seen[w] = seen.get(w, 0) + 1
+    seen = Counter(hash(t[k : k + length]) for _, t in texts for k in range(len(t) - length + 1))
     out = []
     for d, t in texts:
         gone = np.zeros(len(t) + 1, bool)
@@ -43,17 +41,37 @@ def texts(rng):
     return out + out[10:14] + [out[9] + say(9), say(3) + out[12]]
 
 
-@pytest.mark.parametrize("length, gram, crowd", [(40, 8, 4096), (33, 32, 4096), (40, 8, 2)])
+@pytest.mark.parametrize("length, gram, crowd", [(40, 8, 4096), (33, 32, 4096), (40, 8, 2), (40, 8, 1)])
 def test_removed_bytes(spark, monkeypatch, length, gram, crowd):
     monkeypatch.setattr(R, "CROWD", crowd)
     monkeypatch.setattr(R, "SORTED", 300)
     rng = random.Random(length + crowd)
     docs = [(k, t) for k, t in enumerate(texts(rng))]
     docs += [(None, docs[15][1]), docs[20], (777, "q" * 20 + docs[21][1])]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS t", "'x' AS ranges").repartition(5)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS t", "'x' AS ranges", "2 AS u", "3 AS piece").repartition(5)
     assert digest(R.remove(frame, length, gram)) == brute(docs, length)
 
 
+def test_twins_are_told_apart(spark):
+    """Texts, and parts of texts, that a polynomial hash modulo 2**64 takes for equal."""
+    x, y = twins()
+    docs = [(1, x), (2, y), (3, x), (4, "q" * 30 + y[:900]), (5, x[:512] + "é" + y[512:])]
+    got = digest(R.remove(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == brute(docs, 400)
+
+
+@pytest.mark.parametrize("crowd", [2, 5])
+def test_crowded_anchor(spark, monkeypatch, crowd):
+    """Many texts share one passage, with all sorts of text around it."""
+    monkeypatch.setattr(R, "CROWD", crowd)
+    rng = random.Random(crowd)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    core, before, after = say(20), [say(30) for _ in range(4)], [say(30) for _ in range(4)]
+    docs = [(k, say(rng.randrange(8)) + rng.choice(before) + core + rng.choice(after) + say(rng.randrange(8))) for k in range(70)]
+    docs += [(100 + k, say(40) + core + say(40)) for k in range(20)]
+    assert digest(R.remove(spark.createDataFrame(docs, "doc_id long, text string"), 40, 8)) == brute(docs, 40)
+
+
 def test_small_batches(spark):
     """Groups of runs that go over many batches."""
     rng = random.Random(9)
@@ -84,8 +102,8 @@ def test_order_and_prefixes(alphabet):
         assert R.common_prefixes(data, place[order], length).tolist() == lcp
 
 
-def test_query_against_brute_force(spark):
-    root = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("root", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_against_brute_force(spark, root):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
     got = digest(registry.op5_repeated_bytes(spark, root))
     assert got == brute(docs, 400) and sum(r[2] for r in got) > 10_000
