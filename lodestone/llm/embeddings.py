@@ -1,13 +1,16 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells.
 
 1. Equal vectors are one class, represented by the smallest id.
-2. Cells are fitted by spherical k-means on a bounded sample. A vector belongs
-   to the cell of its nearest centroid, and visits each cell whose border (the
-   bisecting plane) is nearer than a margin. The margin is ``MARGIN`` deviations
-   that a step of the largest linked distance makes along a random direction; a
-   pair is found if either vector visits the other's cell. A margin of half the
-   largest linked distance (``exact=True``) provably misses nothing, and
-   visits more cells.
+2. Cells, about as many as the square root of the number of vectors, are fitted
+   by spherical k-means on a sample of 8 vectors a cell, ``SAMPLE`` at least and
+   ``SAMPLE_BYTES`` at most. A vector belongs to the cell of its nearest centroid,
+   and visits each cell whose border (the bisecting plane) is nearer than a
+   margin; a pair is found if either vector visits the other's cell. The margin
+   is ``MARGIN`` deviations that a step of the largest linked distance makes along
+   a direction of the space that the data really fill: its effective dimensions
+   are those of the sample or of its spread within cells, whichever are fewer. It
+   is never above half the largest linked distance, which provably misses nothing
+   (``exact=True`` takes that, and visits many more cells).
 3. Cells are cut into blocks by hash; each pair of blocks is one product in
    double precision. A task returns for each vector the number of its links and
    the smallest vector joined with it, never the pairs. Of two cells that both
@@ -17,7 +20,9 @@
 Defined cases: null ids, null, empty and zero vectors, and such with null or
 non-finite components link with nothing; vectors of other dimensions than the
 sample's most frequent one are compared in one cell of each dimension; repeated
-rows are one vector.
+rows are one vector; of several usable vectors with one id the one with the
+smallest digest counts, and the id has one row; an empty table gives no rows; a cosine of exactly
+``least`` is a link. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,22 +34,37 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.shared import Scratch
+from lodestone.llm.textbytes import digests
 
 LEAST = 0.95
-#: Vectors that the cells are fitted on.
+#: Vectors that the cells are fitted on, at least, and their bytes at most, which bound the number of cells.
 SAMPLE = 20_000
-MAX_CELLS = 4096
+SAMPLE_BYTES = 128 << 20
 MARGIN = 2.0
-BLOCK = 1024
+#: Vectors of a cell that are compared with as many others by one task.
+BLOCK = 4096
+#: Elements of a product that are held at a time.
+_HELD = 1 << 20
 _ROUNDS = 8
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows at length 1; scaled first, so that squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _nearest(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    rows = max(1, _HELD // len(centres))
+    return np.concatenate([(unit[k : k + rows] @ centres.T).argmax(1) for k in range(0, len(unit), rows)] or [np.zeros(0, np.int64)])
+
+
 def fit_cells(sample: np.ndarray, cells: int, seed: int = 11) -> np.ndarray:
     """Unit centroids by spherical k-means."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(_ROUNDS):
-        own = (sample @ centres.T).argmax(1)
+        own = _nearest(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         norms = np.linalg.norm(sums, axis=1)
@@ -52,20 +72,43 @@ def fit_cells(sample: np.ndarray, cells: int, seed: int = 11) -> np.ndarray:
     return centres
 
 
+def effective_dimensions(rows: np.ndarray) -> float:
+    """In how many directions, counted as if they were equally strong, the rows spread around their mean."""
+    spread = np.cov(rows, rowvar=False).reshape(rows.shape[1], -1) if len(rows) > 1 else np.zeros((1, 1))
+    total = float((spread * spread).sum())
+    return float(np.trace(spread)) ** 2 / total if total > 0 else 1.0
+
+
+def margin_for(sample: np.ndarray, centres: np.ndarray, step: float, exact: bool) -> float:
+    """How near to a border a vector visits the next cell."""
+    if exact:
+        return step / 2
+    apart = sample - centres[_nearest(sample, centres)] if len(centres) < len(sample) else sample
+    return min(step / 2, MARGIN * step / min(effective_dimensions(sample), effective_dimensions(apart)) ** 0.5)
+
+
 class Cells:
-    """Centroids, the distances between them, and how near to a border a vector visits the next cell."""
+    """Centroids, and how near to a border a vector visits the next cell."""
 
     def __init__(self, centres: np.ndarray, margin: float):
         self.centres, self.margin = centres, margin
-        self.apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
 
-    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The own cell of each vector, and all cells that it is compared in."""
-        near = unit @ self.centres.T
-        own = near.argmax(1)
-        seen = near.max(1, keepdims=True) - near <= self.margin * self.apart[own]
-        seen[np.arange(len(unit)), own] = True
-        return own, seen
+    def sees(self, unit: np.ndarray, own: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether each vector, at home in ``own``, visits each of these cells."""
+        home = self.centres[own]
+        gain = np.einsum("ij,ij->i", unit, home)[:, None] - unit @ self.centres[cells].T
+        apart = np.sqrt(np.maximum(2 - 2 * home @ self.centres[cells].T, 0))
+        return (gain <= self.margin * apart) | (own[:, None] == cells[None, :])
+
+    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The own cell of each vector; and row and cell of every visit, its own among them."""
+        own, every = _nearest(unit, self.centres), np.arange(len(self.centres))
+        rows, out = max(1, _HELD // len(self.centres)), []
+        for k in range(0, len(unit), rows):
+            at, cell = np.nonzero(self.sees(unit[k : k + rows], own[k : k + rows], every))
+            out.append((at + k, cell))
+        at, cell = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return own, at, cell
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,46 +125,53 @@ def _placed(batch: pa.RecordBatch, cells: Cells):
     out = []
     if len(rows):
         first = np.cumsum(sizes) - sizes
-        unit = flat[first[rows][:, None] + np.arange(dim)]
-        unit /= np.linalg.norm(unit, axis=1)[:, None]
-        own, seen = cells.visits(unit)
-        at, cell = np.nonzero(seen)
+        own, at, cell = cells.visits(unit_rows(flat[first[rows][:, None] + np.arange(dim)]))
         out.append((rows[at], cell, own[at]))
     other = np.flatnonzero(sizes != dim)
     out.append((other, -sizes[other], -sizes[other]))
     return [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
 
 
-def _compare(cells: Cells, least: float):
+def _compare(shared, least: float):
     def run(table: pa.Table) -> pa.Table:
+        cells: Cells = shared.value
         cell, i, j = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
         side, own, rep, copies = (table.column(c).to_numpy() for c in ("side", "own", "rep", "copies"))
         sizes, flat = _matrix(table.column("embedding").combine_chunks())
-        x = flat.reshape(len(sizes), sizes[0])
-        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        unit = unit_rows(flat.reshape(len(sizes), sizes[0]))
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        cosine = unit[a] @ unit[b].T
-        link = cosine >= least
-        for p, q in zip(*np.nonzero(np.abs(cosine - least) < 1e-12), strict=True):
-            u, v = x[a[p]], x[b[q]]
-            link[p, q] = float(u @ v) / (float(np.sqrt(u @ u)) * float(np.sqrt(v @ v))) >= least
-        if i == j:
-            np.fill_diagonal(link, False)
+        link = np.zeros((len(a), len(b)), bool)
+        rows = max(1, _HELD // max(len(b), 1))
         if cell >= 0:
-            _, seen = cells.visits(unit)
+            homes, place = np.unique(own, return_inverse=True)
+            step = max(1, _HELD // len(homes))
+            seen = np.concatenate([cells.sees(unit[k : k + step], own[k : k + step], homes) for k in range(0, len(own), step)])
             mine = own == cell
             # A pair of two visitors is compared elsewhere; of two cells that see a pair the smaller one counts it.
-            counts = lambda p, q: mine[p][:, None] & (~seen[p][:, own[q]] | (cell <= own[q])[None, :])
-            link &= counts(a, b) | counts(b, a).T
+            counts = lambda p, q: mine[p][:, None] & (~seen[p][:, place[q]] | (cell <= own[q])[None, :])
+        for k in range(0, len(a), rows):
+            part = a[k : k + rows]
+            cosine = unit[part] @ unit[b].T
+            near = cosine >= least
+            for p, q in zip(*np.nonzero(np.abs(cosine - least) < 1e-12), strict=True):
+                u, v = unit[part[p]], unit[b[q]]
+                near[p, q] = float(u @ v) / (float(np.sqrt(u @ u)) * float(np.sqrt(v @ v))) >= least
+            if cell >= 0:
+                near &= counts(part, b) | counts(b, part).T
+            link[k : k + rows] = near
+        if i == j:
+            np.fill_diagonal(link, False)
         n = np.zeros(len(rep), np.int64)
         n[a] += link @ copies[b]
         if i != j:
             n[b] += link.T @ copies[a]
-        root = rep.copy()
+        root, none = rep.copy(), np.iinfo(np.int64).max
         while True:
             low = root.copy()
-            low[a] = np.minimum(low[a], np.where(link, root[b][None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
-            low[b] = np.minimum(low[b], np.where(link, low[a][:, None], np.iinfo(np.int64).max).min(0, initial=np.iinfo(np.int64).max))
+            for k in range(0, len(a), rows):
+                part, on = a[k : k + rows], link[k : k + rows]
+                low[part] = np.minimum(low[part], np.where(on, low[b][None, :], none).min(1, initial=none))
+                low[b] = np.minimum(low[b], np.where(on, low[part][:, None], none).min(0, initial=none))
             if (low == root).all():
                 break
             root = low
@@ -131,26 +181,41 @@ def _compare(cells: Cells, least: float):
     return run
 
 
+def _named(batches):
+    """Each vector with the halves of a digest of its components."""
+    for batch in batches:
+        vectors = batch.column("embedding")
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        flat = np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False))
+        raw, ends = flat.tobytes(), np.cumsum(sizes) * flat.itemsize
+        names = digests([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]) if len(sizes) else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[:, 0]), pa.array(names[:, 1])], [*batch.schema.names, "h1", "h2"])
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST, key: str = "vec_id", embedding: str = "embedding", cells: int | None = None, exact: bool = False) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each vector."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).distinct()
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    classes = scratch.write(rows.filter(usable).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    named = rows.filter(usable).mapInArrow(_named, f"vec_id long, embedding {kind}, h1 long, h2 long")
+    once = scratch.write(named.groupBy("vec_id").agg(F.min(F.struct("h1", "h2", "embedding")).alias("x")).select("vec_id", "x.*"), "vectors")
+    classes = scratch.write(once.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes")
     total = classes.count()
+    widest = classes.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
 
-    sample = classes.select("embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE).select("embedding").toArrow()
+    wished = cells or max(1, round(total**0.5))
+    bound = max(1, SAMPLE_BYTES // (8 * widest))
+    sample = classes.select("embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(min(bound, max(SAMPLE, 8 * wished))).select("embedding").toArrow()
     sizes, flat = _matrix(sample.column(0).combine_chunks()) if sample.num_rows else (np.ones(1, np.int64), np.ones(1))
     dims, often = np.unique(sizes, return_counts=True)
     dim = int(dims[often.argmax()])
     first = (np.cumsum(sizes) - sizes)[sizes == dim]
-    unit = flat[first[:, None] + np.arange(dim)]
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    step = float(np.sqrt(2 - 2 * least))
-    margin = step / 2 if exact else min(step / 2, MARGIN * step / dim**0.5)
-    model = Cells(fit_cells(unit, cells or int(min(MAX_CELLS, max(1, total**0.5)))), margin)
+    unit = unit_rows(flat[first[:, None] + np.arange(dim)])
+    centres = fit_cells(unit, wished if cells else min(wished, -(-len(unit) // 8)))
+    model = Cells(centres, margin_for(unit, centres, float(np.sqrt(2 - 2 * least)), exact))
     shared = spark.sparkContext.broadcast(model)
 
     def count(batches):
@@ -179,13 +244,12 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, key: str = "vec_id
                     ["cell", "i", "j", "side", "own", "rep", "copies", "embedding"],
                 )
 
-    kind = classes.schema["embedding"].dataType.simpleString()
     dealt = classes.mapInArrow(deal, f"cell long, i long, j long, side long, own long, rep long, copies long, embedding {kind}")
-    found = scratch.write(dealt.groupBy("cell", "i", "j").applyInArrow(_compare(model, least), "rep long, n long, root long"), "links")
+    found = scratch.write(dealt.groupBy("cell", "i", "j").applyInArrow(_compare(shared, least), "rep long, n long, root long"), "links")
     united = components(found.select("rep", "root"), scratch)
     numbers = found.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = classes.join(numbers.hint("merge"), "rep", "left").join(united.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
-    whole = whole.select("embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    good = rows.filter(usable).join(whole.hint("merge"), "embedding").select("vec_id", "n_links", F.col("root").alias("component_id"))
-    alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    whole = whole.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    good = once.select("vec_id", "h1", "h2").join(whole.hint("merge"), ["h1", "h2"]).select("vec_id", "n_links", F.col("root").alias("component_id"))
+    alone = rows.filter(~usable).distinct().select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -51,6 +51,31 @@ def test_links(spark, monkeypatch, cells, block, exact):
     assert got == brute(vectors)
 
 
+def test_extreme_lengths_and_ids(spark):
+    """Lengths whose squares vanish or overflow; an id with two vectors has one row."""
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (4, [2.0, -1.0]), (4, [4.0, -2.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS h1", "2 AS copies")
+    got = sorted(map(tuple, E.near_duplicates(frame).collect()))
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+@pytest.mark.parametrize("fill", [3, 8, 24])
+def test_recall_where_the_space_is_not_filled(fill):
+    """Vectors in a subspace, with steps of the largest linked distance in it: all pairs are seen by one of their cells."""
+    rng, dim, step = np.random.default_rng(fill), 64, float(np.sqrt(0.1))
+    basis = np.linalg.qr(rng.normal(size=(dim, fill)))[0].T
+    x = E.unit_rows(rng.normal(size=(8000, fill)) @ basis)
+    y = E.unit_rows(x + step * E.unit_rows(rng.normal(size=x.shape[:1] + (fill,)) @ basis))
+    x, y = (z[np.einsum("ij,ij->i", x, y) >= 0.95] for z in (x, y))
+    centres = E.fit_cells(x, 90)
+    cells = E.Cells(centres, E.margin_for(x, centres, step, False))
+    home = [E._nearest(z, centres) for z in (x, y)]
+    every = np.arange(len(centres))
+    seen = [cells.sees(z, own, every) for z, own in zip((x, y), home, strict=True)]
+    at = np.arange(len(x))
+    assert len(x) > 2000 and (seen[0][at, home[1]] | seen[1][at, home[0]]).mean() > 0.995
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert list(map(tuple, E.near_duplicates(frame).collect())) == [(1, 0, 1, True)]
