@@ -1,18 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
 A page's text is cut into blocks, each with its path of block elements from the
-root. Blocks inside elements that hold no article text (menus, forms, page
-headers and footers, side columns, adverts, notices, reader comments, by
-element, role, or a word of class or id) are left out. For each path the text
-length and the punctuation of its blocks are averaged; both ratios are smoothed
-along the page, fused by multiplication, and paths whose score reaches the
-page's threshold are content. Where one element below the body holds nearly all
-content, the other blocks in it (headlines, short lists) belong to it too.
+root. Blocks inside elements that hold no article text are left out: menus,
+forms, page headers and footers, side columns by their element or role, hidden
+ones, and containers (never a paragraph, heading or inline element) whose whole
+class or id says so, such as ``ad-slot`` or ``comments``. Names that may mean
+something else, such as ``header`` or ``related``, only lower the score of their
+path, and only outside ``article`` and ``main``; a name with any word of its own,
+such as ``social-policy``, means nothing. For each path the text length and the
+punctuation of its blocks are averaged; both ratios are smoothed along the page,
+fused by multiplication, and paths whose score reaches the page's threshold are
+content. Where one element below the body holds nearly all content, the other
+blocks in it (headlines, short lists) belong to it too. Time is linear in the
+page's length, however deep its elements are.
 
 A page is handled by itself, from its whole HTML: nothing is shuffled. Defined
 cases: null and empty HTML, and pages without text, give an empty text; markup
-cut off at the end is dropped; unknown and unclosed tags are tolerated; equal
-rows give equal results.
+cut off at the end is dropped; unknown and unclosed tags are tolerated; of elements
+that hold equally much the first is taken; repeated rows give equal results, a
+null key is a key like others, and an empty table gives no rows. The columns of
+``keep`` are carried along, whatever their names but ``text``; others are not
+looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,55 +44,103 @@ DEVIATIONS = 0.5
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe svg math canvas object select noframes title".split())
+_RAW = frozenset("script style noscript template textarea iframe svg canvas object select noframes title".split())
 _OUT = frozenset("nav footer aside form dialog menu head button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer comment comments commentlist respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar pagination pager copyright skip".split()
-)
+#: Words of a class or id that name what is no article text, ...
+_STRONG = frozenset("ad ads advert adverts advertisement advertisements advertising sponsored promo cookie cookies consent gdpr popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar comment comments commentlist respond disqus share sharing newsletter subscribe subscription signup login pagination pager".split())
+#: ... words that may do so, ...
+_WEAK = frozenset("header footer banner notice notification alert overlay widget widgets sponsor promotion social related recommended recommendations search copyright skip aside top bottom".split())
+#: ... words that say nothing beside these, and words of the article itself.
+_NEUTRAL = frozenset("slot box list container wrapper wrap section block area bar form item items link links unit left right page site global primary secondary inner outer row col main".split())
+_CONTENT = frozenset("article entry post story content text body".split())
+_CONTAINERS = frozenset("article aside center dd details div dl fieldset figure footer form header li main menu nav ol section table tbody td th tr ul".split())
+#: What the length of a block counts where its container's name may mean no article text.
+_DOUBT = 0.25
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/>])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-class Block:
-    __slots__ = ("chain", "links", "path", "text")
+class Page(NamedTuple):
+    """The blocks of a page in page order, and the elements that they stand in: an element's number is above its parent's."""
 
-    def __init__(self, path, chain, text, links):
-        self.path, self.chain, self.text, self.links = path, chain, text, links
+    texts: list[str]
+    links: list[int]  # characters of each block that belong to links
+    nodes: list[int]  # the element of each block
+    parents: list[int]
+    names: list[str]
+    paths: list[int]  # one number for each path of element names
+    doubts: list[bool]  # whether an element's name, or that of one around it, may mean no article text
 
 
-def _outside(name: str, attributes: str, stack: list) -> bool:
-    """Whether an element holds no article text."""
-    if name in _OUT or name == "header" and not any(e[0] in ("article", "main") for e in stack):
-        return True
+def _name_says(value: str) -> int:
+    """2 if a class or id names what is no article text, 1 if it may do so."""
+    found = 0
+    for name in value.split():
+        words = [w for w in _SPLIT.split(name) if w]
+        if not words or not all(w in _STRONG or w in _WEAK or w in _NEUTRAL or w in _CONTENT for w in words) or words[-1] in _CONTENT:
+            continue
+        if any(w in _STRONG for w in words):
+            return 2
+        if any(w in _WEAK for w in words) and not any(w in _CONTENT for w in words):
+            found = 1
+    return found
+
+
+def _outside(name: str, attributes: str, in_article: bool) -> int:
+    """2 if an element holds no article text, 1 if that is in doubt."""
+    if name in _OUT or name == "header" and not in_article:
+        return 2
+    found = 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value) or key == "role" and value in _ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body") and not _WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            return 2
+        if key in ("class", "id") and name in _CONTAINERS:
+            found = max(found, _name_says(value))
+    return 2 if found == 2 else found if not in_article else 0
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in page order, without those outside the article."""
-    out: list[Block] = []
+def blocks(page: str) -> Page:
+    """The page's blocks with text, without those outside the article."""
+    out = Page([], [], [], [0], [""], [0], [False])
     stack: list[tuple[str, int, bool]] = []  # name, number, whether it or what holds it is outside
+    open_: dict[str, int] = defaultdict(int)  # how many elements of a name are open
+    known: dict[tuple, int] = {}
     parts: list[str] = []
-    serial = links = depth = 0
+    links = depth = 0
 
     def flush() -> None:
         nonlocal links
         if parts and not (stack and stack[-1][2]):
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(e[0] for e in stack), tuple(e[1] for e in stack), text, links))
+                out.texts.append(text)
+                out.links.append(links)
+                out.nodes.append(stack[-1][1] if stack else 0)
         parts.clear()
         links = 0
 
+    def push(name: str, verdict: int) -> None:
+        above = stack[-1][1] if stack else 0
+        out.parents.append(above)
+        out.names.append(name)
+        out.doubts.append(out.doubts[above] or verdict == 1)
+        out.paths.append(known.setdefault((out.paths[above], name, verdict == 1), len(known) + 1))
+        stack.append((name, len(out.names) - 1, bool(stack and stack[-1][2]) or verdict == 2))
+        open_[name] += 1
+
+    def pop(name: str) -> None:
+        """Ends the innermost open element of this name, and all in it."""
+        while True:
+            last = stack.pop()[0]
+            open_[last] -= 1
+            if last == name:
+                return
+
     at, end = 0, len(page)
     while at < end:
         tag = page.find("<", at)
@@ -113,6 +170,7 @@ def blocks(page: str) -> list[Block]:
             continue
         at = found.end()
         closing, name, attributes = found[1], found[2].lower(), found[3]
+        in_article = bool(open_["article"] or open_["main"])
         if name in _RAW:
             if not closing and not attributes.endswith("/"):
                 close = re.compile(f"</{name}[\\s>/]", re.I).search(page, at)
@@ -123,33 +181,30 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
         if name not in _BLOCK:
-            if name not in _VOID and closing and any(e[0] == name for e in stack) or not closing and name not in _VOID and attributes and _outside(name, attributes, stack):
+            if name in _VOID:
+                continue
+            if closing and open_[name]:
                 flush()
-                if closing:
-                    while stack.pop()[0] != name:
-                        pass
-                elif not attributes.endswith("/"):
-                    serial += 1
-                    stack.append((name, serial, True))
+                pop(name)
+            elif not closing and attributes and not attributes.endswith("/") and _outside(name, attributes, in_article) == 2:
+                flush()
+                push(name, 2)
             continue
         flush()
         if closing:
-            if any(e[0] == name for e in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if open_[name]:
+                pop(name)
             continue
-        if any(e[0] == "p" for e in stack) and name not in ("html", "body", "head"):
-            while stack.pop()[0] != "p":
-                pass
+        if open_["p"] and name not in ("html", "body", "head"):
+            pop("p")
         while stack and stack[-1][0] in _CLOSES.get(name, ()):
-            stack.pop()
+            pop(stack[-1][0])
         if name in _VOID or attributes.endswith("/"):
             continue
         if name == "body":
             while stack and stack[-1][0] == "head":
-                stack.pop()
-        serial += 1
-        stack.append((name, serial, bool(stack and stack[-1][2]) or _outside(name, attributes, stack)))
+                pop("head")
+        push(name, _outside(name, attributes, in_article))
     flush()
     return out
 
@@ -159,47 +214,40 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return 0.25 * wide[:-2] + 0.5 * wide[1:-1] + 0.25 * wide[2:]
 
 
+def _by_path(paths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each block the mean of the values on its path."""
+    return (np.bincount(paths, values) / np.maximum(np.bincount(paths), 1))[paths]
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by line ends."""
     found = blocks(page)
-    if not found:
+    if not found.texts:
         return ""
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    lengths = np.array([len(b.text) - b.links for b in found], float).clip(0)
-    for b, length in zip(found, lengths, strict=True):
-        s = sums[b.path]
-        s[0] += length
-        s[1] += len(_PUNCTUATION.findall(b.text))
-        s[2] += 1
-    score = _smooth(np.array([sums[b.path][0] / sums[b.path][2] for b in found])) * (1 + _smooth(np.array([sums[b.path][1] / sums[b.path][2] for b in found])))
-    of_path: dict[tuple, list[float]] = defaultdict(list)
-    for b, s in zip(found, score, strict=True):
-        of_path[b.path].append(s)
-    means = {p: sum(s) / len(s) for p, s in of_path.items()}
-    least = min(DEVIATIONS * float(np.std(score)), max(means.values()))
-    chosen = [means[b.path] >= least for b in found]
-
-    mass = score * lengths * np.array(chosen)
-    total, held = float(mass.sum()), 0
-    inside = list(range(len(found)))
-    while total:
-        weight: dict[int, float] = defaultdict(float)
-        for k in inside:
-            if len(found[k].chain) > held:
-                weight[found[k].chain[held]] += mass[k]
-        best = max(weight, key=weight.get, default=None)
-        if best is None or weight[best] < HOLDS * total:
-            break
-        deeper = [k for k in inside if len(found[k].chain) > held and found[k].chain[held] == best]
-        if found[deeper[0]].path[held] in ("p", "h1", "h2", "h3", "li", "td", "th", "tr", "pre", "blockquote"):
-            break
-        inside, held = deeper, held + 1
-    within = found[inside[0]].path[held - 1] if held else "body"
-    if within in ("body", "html"):
-        keep = [k for k in range(len(found)) if chosen[k]]
-    else:
-        keep = [k for k in inside if chosen[k] or found[k].links < 0.8 * len(found[k].text)]
-    return "\n".join(found[k].text for k in keep)
+    nodes, links = np.array(found.nodes), np.array(found.links, float)
+    paths, doubt = np.array(found.paths)[nodes], np.array(found.doubts)[nodes]
+    sizes = np.array([len(t) for t in found.texts], float)
+    lengths = (sizes - links).clip(0) * np.where(doubt, _DOUBT, 1.0)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in found.texts], float)
+    score = _smooth(_by_path(paths, lengths)) * (1 + _smooth(_by_path(paths, marks)))
+    means = _by_path(paths, score)
+    chosen = means >= min(DEVIATIONS * float(np.std(score)), float(means.max()))
+
+    mass = score * lengths * chosen
+    weight, last = np.bincount(nodes, mass, len(found.names)).tolist(), list(range(len(found.names)))
+    best = [0] * len(weight)  # the child that holds most
+    for k in range(len(weight) - 1, 0, -1):
+        above = found.parents[k]
+        weight[above] += weight[k]
+        last[above] = max(last[above], last[k])
+        if not best[above] or weight[k] >= weight[best[above]]:
+            best[above] = k
+    held, total = 0, weight[0]
+    while total and best[held] and weight[best[held]] >= HOLDS * total and found.names[best[held]] not in ("p", "h1", "h2", "h3", "li", "td", "th", "tr", "pre", "blockquote"):
+        held = best[held]
+    if found.names[held] not in ("", "body", "html"):
+        chosen = (nodes >= held) & (nodes <= last[held]) & (chosen | ~doubt & (links < 0.8 * sizes))
+    return "\n".join(found.texts[k] for k in np.flatnonzero(chosen).tolist())
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -42,6 +43,14 @@ WRAP = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=
         (f"<script>var a='<p>no</p>';</script><!-- <p>{PARAGRAPH}</p> --><div role=banner>{PARAGRAPH}</div><section><h1>H</h1><p>{PARAGRAPH}</p></section>", f"H\n{PARAGRAPH}"),
         (f"<article><p>{PARAGRAPH}</p><table><tr><td>1<td>2</table><p hidden>secret</p></article>", f"{PARAGRAPH}\n1\n2"),
         ("<article><p>Only this</p></article>", "Only this"),
+        (f"<article><p data-id='alert-7' data-role='search' my-class=ad>{PARAGRAPH}</p><p class=notice>Short.</p></article>", f"{PARAGRAPH}\nShort."),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><p>{PARAGRAPH}</p></article>", f"Title\n{PARAGRAPH}"),
+        (f"<div class=post><div class='entry-header'><h1 class='page-header'>Title</h1></div><p>{PARAGRAPH}</p><div class=comments><p>{PARAGRAPH}</div></div>", f"Title\n{PARAGRAPH}"),
+        (f"<article><section id='social-policy'><h2>Policy</h2><p>{PARAGRAPH}</p></section></article>", f"Policy\n{PARAGRAPH}"),
+        (f"<div id=main><section class='menu-reform alert'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></section></div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
+        (f"<article><p>A <span class='related-term'>word</span> and <span class=ad>another</span> stay. {PARAGRAPH}</p></article>", f"A word and another stay. {PARAGRAPH}"),
+        (f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {PARAGRAPH}</p></article>", f"So x=2 holds. {PARAGRAPH}"),
+        (f"<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div class='site-footer'>About us</div></div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
         (f"<article><p>one <b>bold<p>{PARAGRAPH}</article>", f"one bold\n{PARAGRAPH}"),
     ],
 )
@@ -59,6 +68,13 @@ def test_odd_pages():
     assert len(M.main_text("<a b='" * 3000)) == 0
 
 
+def test_deep_pages_take_linear_time():
+    for page in ("<div>a" * 60_000, "<span>" * 60_000 + "a", "<ul><li>a" * 30_000, "<b></i>" * 60_000, "<p>a</div>" * 40_000, "<div id='" + "x-" * 200_000 + "'>a"):
+        began = time.perf_counter()
+        assert "a" in M.main_text(page) or "<b>" in page
+        assert time.perf_counter() - began < 8
+
+
 def test_frames(spark):
     rows = [(1, "u", None, "c"), (1, "u", None, "c"), (None, None, WRAP % f"<p>{PARAGRAPH}</p>", "c"), (3, "v", "", "c")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
