@@ -50,6 +50,8 @@ GRAM = 64
 CROWD = 512
 #: Windows sorted together.
 SORTED = 100_000
+#: How often parts are halved before crowded groups are looked for again.
+_HALVINGS = 3
 _PLACE = np.uint64((1 << 28) - 1)
 _RUN = "anchor long, t long, u long, first long, n long, d long, h1 long, h2 long, times long"
 _PART = "anchor long, t long, u long, first long, n long, d long, h1 long, h2 long, piece binary"
@@ -381,13 +383,14 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "
         usual = cut.join(crowds.hint("merge"), "anchor", "left_anti") if crowded else cut
         ordered = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(length), f"t long, u long, first long, ranges {_RANGES}")
         found = ordered.select("t", "u", "first", F.inline("ranges"))
-        parts.append(found.select("t", "u", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi")))
+        here = found.select("t", "u", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi"))
+        parts.append(scratch.write(here, "found") if crowded or level else here)
         if not crowded:
             break
-        level += 1
+        level += _HALVINGS
         split = scratch.write(cut.join(crowds.hint("merge"), "anchor", "left_semi").mapInArrow(_split(length, gram, level), _PART), "split")
         kinds = scratch.write(split.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("t", "u", "first")).alias("one")).select(*same, "times", "one.*"), "kinds")
-        parts.append(span(split.join(kinds.filter("times > 1").select(*same).hint("merge"), same)))
+        parts.append(scratch.write(span(split.join(kinds.filter("times > 1").select(*same).hint("merge"), same)), "equal"))
         sizes = scratch.write(_sizes(kinds), "sizes")
         cut = split.join(kinds.join(sizes.hint("merge"), "anchor").select(*same, "t", "u", "first").hint("merge"), [*same, "t", "u", "first"]).select(split.columns)
     every = parts[0]
