@@ -3,18 +3,25 @@
 Candidates are found by one pattern, then validated: payment cards by length
 and Luhn digit, IBANs by their check digits, US social security numbers by
 their reserved ranges, IPv4 addresses by their octets, dates by the calendar
-(1800 to 2199), telephone numbers and e-mail addresses by their form. What
-fails validation stays as it is. A valid value is permuted by a keyed Feistel
+(1800 to 2199), e-mail addresses by their form, and telephone numbers by theirs
+(of ten digits that are all the same none is a number; area codes aren't looked
+up, since mistyped and invented numbers are as personal as others, and
+pseudonyms may have area codes that don't exist). Letters, digits and
+underscores around a number or date make it part of a longer name, which stays.
+What fails validation stays as it is. A valid value is permuted by a keyed Feistel
 network within its format: a card stays a card of the same length and first
 digit with a right check digit, a date stays a date in the same notation, and so
 on. Permutations are bijections, and they start from the bare value, so that
-equal values get equal pseudonyms in all documents, however they are written.
+equal values get equal pseudonyms in all documents, however they are written. A
+permutation may map a value to itself, which in a small format isn't rare (a mail
+name of one letter, 1 in 26); the host of an e-mail address stays readable.
 ``reverse=True`` undoes the operation with the same key (but for the zeros that
 pad a day or month).
 
 A row is handled by itself: nothing is shuffled. Defined cases: a null text
-stays null with counts of 0; an empty text stays empty; repeated rows get equal
-results; month-first is read from ``m/d/yyyy``, day-first where only that is a
+stays null with no counts; an empty text stays empty; an empty table gives no
+rows; repeated rows get equal results; where several kinds fit at one place, the
+first of ``PATTERNS`` is taken; columns stay whatever their names; month-first is read from ``m/d/yyyy``, day-first where only that is a
 date or where dots or hyphens separate.
 """
 
@@ -27,16 +34,16 @@ ROUNDS = 8
 _DAY0, _A, _B = "1800-01-01", 189, 773  # 400 years have 189 * 773 days
 _MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_AHEAD, _BEHIND = "(?![0-9A-Za-z])", "(?<![0-9A-Za-z])"
+_AHEAD, _BEHIND = "(?![0-9A-Za-z_])", "(?<![0-9A-Za-z_])"
 # In the order of preference at one place. Runs are bounded or possessive, so that no text takes more than linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "date": rf"{_BEHIND}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![0-9A-SU-Za-z-])|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}(?![0-9A-Za-z/])|[0-9]{{1,2}}([./-])[0-9]{{1,2}}\1[0-9]{{4}}(?![0-9A-Za-z])|[0-9]{{1,2}} {_MONTHS} [0-9]{{4}}{_AHEAD}|{_MONTHS} [0-9]{{1,2}}, [0-9]{{4}}{_AHEAD})",
+    "ip": rf"(?<![0-9A-Za-z_.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z_]|\.[0-9])",
+    "date": rf"{_BEHIND}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![0-9A-SU-Za-z_-])|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}(?![0-9A-Za-z_/])|[0-9]{{1,2}}([./-])[0-9]{{1,2}}\1[0-9]{{4}}(?![0-9A-Za-z_])|[0-9]{{1,2}} {_MONTHS} [0-9]{{4}}{_AHEAD}|{_MONTHS} [0-9]{{1,2}}, [0-9]{{4}}{_AHEAD})",
     "iban": rf"{_BEHIND}[A-Z]{{2}}[0-9]{{2}}(?:(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,4}})?|[A-Z0-9]{{11,30}}){_AHEAD}",
-    "ssn": rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])",
-    "card": rf"(?<![0-9A-Za-z.])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z])",
-    "phone": rf"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}([.-])[0-9]{{3}}\2[0-9]{{4}}|\+[2-9](?:[ .-]?[0-9]){{7,13}})(?![0-9A-Za-z])",
+    "ssn": rf"(?<![0-9A-Za-z_-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z_-])",
+    "card": rf"(?<![0-9A-Za-z_.])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z_])",
+    "phone": rf"(?<![0-9A-Za-z_+])(?:\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}([.-])[0-9]{{3}}\2[0-9]{{4}}|\+[2-9](?:[ .-]?[0-9]){{7,13}})(?![0-9A-Za-z_])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
@@ -165,7 +172,7 @@ def pseudonym(t: Column, key: str, reverse: bool = False) -> Column:
         .when(is_("iban") & (_mod97(bare) == 1), out("iban", _dressed(t, iban)))
         .when(is_("ssn") & valid_ssn, out("ssn", ssn))
         .when(is_("card") & F.call_function("luhn_check", bare), out("card", _dressed(t, card)))
-        .when(is_("phone"), out("phone", _dressed(t, phone)))
+        .when(is_("phone") & ~F.substr(bare, F.length(bare) - core + 1).rlike(r"^([0-9])\1*$"), out("phone", _dressed(t, phone)))
         .otherwise(out(None, t))
     )
 
@@ -175,10 +182,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", reverse: bool =
 
     All other columns stay as they are, but for one named ``pii_counts``.
     """
+    own = "_found"
+    while own in docs.columns:
+        own += "_"
     found = F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda t: pseudonym(t, key, reverse))
     gaps = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform("_found", lambda x: x["value"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    count = lambda kind: F.size(F.filter("_found", lambda x: x["kind"] == kind))
-    marked = docs.withColumn("_found", F.when(F.col(text).rlike("[0-9@]"), found))
+    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform(own, lambda x: x["value"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    count = lambda kind: F.size(F.filter(own, lambda x: x["kind"] == kind))
+    marked = docs.withColumn(own, F.when(F.col(text).rlike("[0-9@]"), found))
     counts = F.map_filter(F.create_map(*[x for k in PATTERNS for x in (F.lit(k), F.greatest(count(k), F.lit(0)))]), lambda _, n: n > 0)
-    return marked.withColumns({text: F.when(F.size("_found") > 0, joined).otherwise(F.col(text)), "pii_counts": F.coalesce(counts, F.create_map().cast("map<string,int>"))}).drop("_found")
+    return marked.withColumns({text: F.when(F.size(own) > 0, joined).otherwise(F.col(text)), "pii_counts": F.coalesce(counts, F.create_map().cast("map<string,int>"))}).drop(own)

@@ -16,7 +16,7 @@ def luhn(s):
 
 
 def run(spark, texts, **more):
-    frame = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, _other int")
+    frame = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, _other int").selectExpr("*", "1 AS _found", "2 AS kind", "3 AS value")
     return [r for r in pii.pseudonymise(frame, KEY, **more).orderBy("doc_id").collect()]
 
 
@@ -29,7 +29,7 @@ VALID = {
     "date": ["2020-02-29", "29.02.2020", "2/29/2020", "29/02/2020", "29 February 2020", "February 29, 2020", "1800-01-01", "31.12.2199", "7-8-1999", "2001/10/20"],
     "email": ["anna.smith42@a8.example.com", "x@y.org", "A+b%c@host.co.uk"],
 }
-INVALID = ["4111111111111112", "12345678901234567890", "999.1.1.1", "1.2.3.4.5", "000-12-3456", "666-12-3456", "123-00-4567", "2021-02-29", "31.02.2020", "1799-12-31", "DE89370400440532013001", "a@b", "80caf00312470a19c410a04", "n_4111111111111111", "1.5", "v2.10.3", "555-2485"]
+INVALID = ["4111111111111112", "12345678901234567890", "999.1.1.1", "1.2.3.4.5", "000-12-3456", "666-12-3456", "123-00-4567", "2021-02-29", "31.02.2020", "1799-12-31", "DE89370400440532013001", "a@b", "80caf00312470a19c410a04", "n_4111111111111111", "1.5", "v2.10.3", "555-2485", "000-000-0000", "(555) 555-5555", "+1 111 111 1111", "id_123-45-6789", "2020-01-01_log", "_192.168.1.1"]
 
 
 @pytest.mark.parametrize("kind", list(VALID))
@@ -38,7 +38,7 @@ def test_valid_values(spark, kind):
     got = run(spark, texts)
     new = [r.text[2:-3] for r in got]
     for old, fresh, r in zip(VALID[kind], new, got, strict=True):
-        assert r.pii_counts == {kind: 1} and fresh != old and r._other == 7
+        assert r.pii_counts == {kind: 1} and fresh != old and (r._other, r._found, r.kind, r.value) == (7, 1, 2, 3)
         if kind != "date":
             assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", fresh))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", old))) or kind == "ip"
         if kind == "card":
@@ -72,6 +72,10 @@ def test_neighbours(spark):
     assert a == b and r.text.endswith("###")
 
 
+def test_empty(spark):
+    assert run(spark, ["x"])[:0] == pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).collect() == []
+
+
 def test_numbers_are_permuted(spark):
     frame = spark.range(189 * 7).select(pii.permute_number(pii.F.col("id"), 189, 7, KEY, "t").alias("x"))
     assert sorted(r.x for r in frame.collect()) == list(range(189 * 7))
@@ -85,7 +89,7 @@ def test_query(spark):
     got = registry.op10_pii(spark, root).collect()
     assert len(got) == len(old)
     assert registry.op10_pii(spark, root).limit(0).count() == 0
-    where = {"card": re.compile(r"(?<![0-9A-Za-z.])\d{16}(?![0-9A-Za-z])"), "phone": re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}"), "ip": re.compile(r"(?<![0-9A-Za-z.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z])")}
+    where = {"card": re.compile(r"(?<![0-9A-Za-z_.])\d{16}(?![0-9A-Za-z_])"), "phone": re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}"), "ip": re.compile(r"(?<![0-9A-Za-z_.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z_])")}
     found = 0
     for r in got:
         plain = old[r.doc_id]
