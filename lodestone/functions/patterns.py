@@ -1,7 +1,9 @@
 """Patterns of the audit and the column expressions that count them.
 
 The patterns keep to the subset that Java's regular expressions and RE2 read
-alike: no look-around, no back-references, no possessive quantifiers.
+alike: no look-around, no back-references, no possessive quantifiers. Runs that
+a pattern tries anew from each of their characters are bounded, so that a long
+token takes no more than linear time.
 """
 
 from __future__ import annotations
@@ -19,18 +21,31 @@ CREDENTIALS = {
 }
 # Shapes of personal data. Hits are candidates, not verdicts.
 PERSONAL = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}",
     "phone": r"\+?[0-9][0-9 ().-]{8,}[0-9]",
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
 }
+#: What a text must hold for a pattern to be tried at all.
+NEEDS = {"email": "@"}
 LICENCE = r"(?i)\blicen[sc]ed?\b"
 # Fixed value: the first line of the public large-file pointer format.
 STUB = r"^version https://git-lfs\.github\.com/spec/v1\n"
 
 
-def hits(text: Column, pattern: str) -> Column:
-    """How often ``pattern`` occurs in ``text``; 0 where it is null."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), F.lit(0))
+def hits(text: Column, pattern: str, needs: str | None = None) -> Column:
+    """How often ``pattern`` occurs in ``text``; 0 where it is null, or lacks the literal that it needs."""
+    found = F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.coalesce(F.when(text.contains(needs), found) if needs else found, F.lit(0))
+
+
+def any_of(text: Column, patterns: dict[str, str]) -> Column:
+    """Whether any of the patterns occurs: those that need a literal by themselves, the others in one pass."""
+    plain = [f"(?:{p})" for k, p in patterns.items() if k not in NEEDS]
+    out = text.rlike("|".join(plain)) if plain else F.lit(False)
+    for k, p in patterns.items():
+        if k in NEEDS:
+            out = (text.contains(NEEDS[k]) & text.rlike(p)) | out
+    return out
 
 
 def licence_lines_of(text: Column) -> Column:
@@ -42,6 +57,13 @@ def licence_lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(LICENCE))
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def first_class(subject: Column, rules: list[tuple[str, str]], other: str) -> Column:
     """The class of the first rule whose pattern is found in ``subject``."""
     out = None

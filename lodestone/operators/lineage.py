@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import patterns as P
+
 
 def trace_orphans(records: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """``key`` of the records whose source does not exist. A null key is an orphan."""
@@ -13,9 +15,10 @@ def trace_orphans(records: DataFrame, sources: DataFrame, key: str) -> DataFrame
 
 def trace_coverage(records: DataFrame, sources: DataFrame, key: str, group: str) -> DataFrame:
     """``group, n, traced``: sources per group, and how many of them have a record."""
-    have = records.select(key).distinct().withColumn("_have", F.lit(1))
+    mark = P.spare("_have", [key, group])
+    have = records.select(key).distinct().withColumn(mark, F.lit(1))
     joined = sources.select(key, group).join(have, key, "left")
-    return joined.groupBy(group).agg(F.count("*").alias("n"), F.count("_have").alias("traced"))
+    return joined.groupBy(group).agg(F.count("*").alias("n"), F.count(mark).alias("traced"))
 
 
 def snapshot_reconcile(source: DataFrame, snapshot: DataFrame, source_key: str, snapshot_key: str) -> DataFrame:
@@ -39,6 +42,7 @@ def golden_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
     Columns are matched by name; nulls equal nulls.
     """
     columns = expected.columns
-    both = actual.select(*columns, F.lit(1).alias("_d")).unionByName(expected.select(*columns, F.lit(-1).alias("_d")))
-    sums = both.groupBy(*columns).agg(F.sum("_d").alias("_d")).filter("_d <> 0")
-    return sums.select(*columns, F.when(F.col("_d") > 0, "actual").otherwise("expected").alias("side"), F.abs("_d").alias("copies"))
+    d = P.spare("_d", columns)
+    both = actual.select(*columns, F.lit(1).alias(d)).unionByName(expected.select(*columns, F.lit(-1).alias(d)))
+    sums = both.groupBy(*columns).agg(F.sum(d).alias(d)).filter(F.col(d) != 0)
+    return sums.select(*columns, F.when(F.col(d) > 0, "actual").otherwise("expected").alias("side"), F.abs(d).alias("copies"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import patterns as P
@@ -40,19 +40,45 @@ def licence_lines(corpus: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def personal_data(corpus: DataFrame, kinds: dict[str, str] = P.PERSONAL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and a count per kind, for documents with any hit. No shuffle."""
-    counted = corpus.select(key, *[P.hits(F.col(text), p).alias(k) for k, p in kinds.items()])
-    return counted.filter(F.greatest(*[F.col(k) for k in kinds], F.lit(0)) > 0)
+    """``doc_id`` and a count per kind, for documents with any hit. No shuffle.
+
+    The counts are one struct, made once for each text and dropped where it is
+    all zeros; a filter above a projection would count twice.
+    """
+    counted = F.struct(*[P.hits(F.col(text), p, P.NEEDS.get(k)).alias(k) for k, p in kinds.items()])
+    some = F.filter(F.array(counted), lambda c: F.greatest(*[c[k] for k in kinds], F.lit(0)) > 0)
+    return corpus.select(key, F.inline(some))
+
+
+def _status(body: Column) -> Column:
+    return (
+        F.when(P.any_of(body, P.CREDENTIALS), "blocked_credential").when(P.any_of(body, P.PERSONAL), "review_personal").when(body.rlike(P.LICENCE), "review_licence").otherwise("no_marker_found")
+    )
 
 
 def release_status(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, status`` per document: the most severe finding of the three scans."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = lambda patterns: F.greatest(*[body.rlike(p).cast("int") for p in patterns.values()], F.lit(0)) > 0
-    status = F.when(found(P.CREDENTIALS), "blocked_credential").when(found(P.PERSONAL), "review_personal").when(body.rlike(P.LICENCE), "review_licence").otherwise("no_marker_found")
-    return corpus.select(key, status.alias("status"))
+    """``doc_id, status`` per document: the most severe finding of the three scans; a null text has none."""
+    return corpus.select(key, _status(F.coalesce(F.col(text), F.lit(""))).alias("status"))
 
 
 def release_gate(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``status, n``. ``no_marker_found`` is no proof of safety: the scan is no complete audit."""
     return release_status(corpus, key, text).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def document_audit(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, hits of each credential family and kind of personal data, licence lines, and the status that they give.
+
+    All scans of the audit in one pass over the texts, without a shuffle; the
+    status is derived from the counts. Null texts have 0 everywhere.
+    """
+    body = F.col(text)
+    families, kinds = list(P.CREDENTIALS), list(P.PERSONAL)
+    counted = F.struct(
+        *[P.hits(body, p, P.NEEDS.get(k)).cast("long").alias(k) for k, p in (P.CREDENTIALS | P.PERSONAL).items()],
+        F.coalesce(F.size(P.licence_lines_of(body)), F.lit(0)).cast("long").alias("licence_lines"),
+    )
+    rows = corpus.select(key, F.inline(F.array(counted)))
+    total = lambda names: sum((F.col(n) for n in names), F.lit(0))
+    status = F.when(total(families) > 0, "blocked_credential").when(total(kinds) > 0, "review_personal").when(F.col("licence_lines") > 0, "review_licence").otherwise("no_marker_found")
+    return rows.withColumn("status", status)

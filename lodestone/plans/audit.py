@@ -59,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_reconcile": lambda s, d: lineage.snapshot_reconcile(table(s, d, "orders"), table(s, d, "lineitem"), "o_orderkey", "l_orderkey"),
     "release_gate": lambda s, d: text.release_gate(_documents(s, d)),
     "golden_diff": golden_diff,
+    "document_audit": lambda s, d: text.document_audit(_documents(s, d)),
 }
 
 
@@ -74,6 +75,15 @@ def _any(patterns) -> str:
     return "(" + " OR ".join(f"regexp_matches(coalesce(text, ''), {_q(p)})" for p in patterns) + ")"
 
 
+def _document_audit() -> str:
+    counts = ", ".join(f"CAST({_count(p)} AS BIGINT) AS {k}" for k, p in (P.CREDENTIALS | P.PERSONAL).items())
+    total = lambda names: " + ".join(names)
+    return (
+        f"SELECT *, CASE WHEN {total(P.CREDENTIALS)} > 0 THEN 'blocked_credential' WHEN {total(P.PERSONAL)} > 0 THEN 'review_personal' WHEN licence_lines > 0 THEN 'review_licence' ELSE 'no_marker_found' END AS status "
+        f"FROM (SELECT doc_id, {counts}, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS line) WHERE regexp_matches(line, {_q(P.LICENCE)})) AS licence_lines FROM documents)"
+    )
+
+
 def _case(rules: list[tuple[str, str]], column: str, other: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, {_q(p)}) THEN '{c}'" for c, p in rules) + f" ELSE '{other}' END"
 
@@ -93,4 +103,5 @@ ORACLE: dict[str, str] = {
     "snapshot_reconcile": "SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN b.k IS NULL THEN 'missing_in_snapshot' ELSE 'unexpected' END AS status FROM (SELECT DISTINCT o_orderkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) b ON a.k = b.k) GROUP BY status",
     "release_gate": f"SELECT CASE WHEN {_any(P.CREDENTIALS.values())} THEN 'blocked_credential' WHEN {_any(P.PERSONAL.values())} THEN 'review_personal' WHEN {_any([P.LICENCE])} THEN 'review_licence' ELSE 'no_marker_found' END AS status, count(*) AS n FROM documents GROUP BY 1",
     "golden_diff": "WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders), a AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_custkey % 1000 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM o WHERE o_orderstatus <> 'P'), d AS (SELECT *, 1 AS d FROM a UNION ALL SELECT *, -1 AS d FROM o) SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN sum(d) > 0 THEN 'actual' ELSE 'expected' END AS side, CAST(abs(sum(d)) AS BIGINT) AS copies FROM d GROUP BY 1, 2, 3, 4 HAVING sum(d) <> 0",
+    "document_audit": _document_audit(),
 }

@@ -15,7 +15,10 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length`` of the files below ``root``; their bodies are not read."""
+    """``path, length`` of the files below ``root``; their bodies are not read.
+
+    Names that begin with a dot or an underscore are not listed, as by all of Spark's readers of files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.col("length").cast("long"))
 

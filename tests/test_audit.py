@@ -1,5 +1,7 @@
 """Every audit query against DuckDB, and literal cases for what the tables never hold."""
 
+import time
+
 import pytest
 
 from lodestone.functions import patterns as P
@@ -121,3 +123,42 @@ def test_streams(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r.family: r.hits for r in spark.table("marks").collect()}["assigned_token"] == 1
+
+
+def test_long_tokens_take_linear_time(spark):
+    """Texts of a million characters without a break, on which unbounded patterns would restart from each of them."""
+    texts = ["x" * 1_000_000, "x" * 1_000_000 + "@", "1" * 1_000_000, "a@" * 500_000, "x@" + "y" * 1_000_000, "1 " * 500_000, "-----BEGIN " * 90_000, "token " * 160_000, "a." * 500_000 + "@b.org"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    found = {r.doc_id: (r.email, r.phone) for r in text.personal_data(frame).collect()}
+    assert {d: e for d, (e, _) in found.items() if e} == {8: 1} and found[2][1] == 1
+    assert text.release_gate(frame).count() == 2 and text.document_audit(frame).count() == len(texts)
+    assert time.perf_counter() - began < 60
+
+
+def test_every_text_is_counted_once(spark):
+    """The plan holds each pattern once, not in a filter and again in a projection."""
+    frame = spark.createDataFrame([(1, "a@b.org"), (2, None), (3, "")], "doc_id long, text string").repartition(2)
+    for out in (text.personal_data(frame), text.document_audit(frame)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= len(P.CREDENTIALS) + len(P.PERSONAL)
+    assert [r.doc_id for r in text.personal_data(frame).collect()] == [1]
+    assert sorted((r.doc_id, r.status) for r in text.document_audit(frame).collect()) == [(1, "review_personal"), (2, "no_marker_found"), (3, "no_marker_found")]
+
+
+def test_columns_in_the_way(spark):
+    a = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "k int, _d int")
+    b = spark.createDataFrame([(1, 2), (5, 6)], "k int, _d int")
+    assert sorted(map(tuple, lineage.golden_diff(a, b).collect())) == [(1, 2, "actual", 1), (3, 4, "actual", 1), (5, 6, "expected", 1)]
+    records = spark.createDataFrame([(1,), (1,)], "k int")
+    assert list(map(tuple, lineage.trace_coverage(records, spark.createDataFrame([(1, "x"), (2, "x")], "k int, _have string"), "k", "_have").collect())) == [("x", 2, 1)]
+
+
+def test_shipped_rules_over_a_listing(spark, tmp_path):
+    """The rules of a hand-over, over the listing of a real folder."""
+    for path in ("src/a.py", "node_modules/x/y.js", "conf/credentials", "data/cache.sqlite3", "data/cache.sqlite3-wal", "build/out.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    files = tables.listing(spark, str(tmp_path))
+    assert {r["class"]: r.n for r in listing.path_class(files).collect()} == {"kept": 2, "node_modules": 1, "credential": 1, "db_sidecar": 1, "build_output": 1}
+    assert listing.tracked_but_excluded(files).count() == 4

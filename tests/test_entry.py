@@ -25,6 +25,6 @@ shutil.copytree({str(ROOT)!r}, {str(tmp_path / "r")!r}, ignore=shutil.ignore_pat
 sys.path.insert(0, {str(tmp_path / "r")!r})
 import __spark_entry__ as e
 assert e.__file__.startswith({str(tmp_path)!r})
-assert len(e.queries()) == 14 == len(e.oracle_sql())
+assert len(e.queries()) == 15 == len(e.oracle_sql())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
