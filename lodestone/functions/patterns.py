@@ -26,25 +26,30 @@ PERSONAL = {
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
 }
 #: What a text must hold for a pattern to be tried at all.
-NEEDS = {"email": "@"}
+NEEDS = {"aws_access_key": "IA", "github_token": "_", "openai_key": "sk-", "private_key": "PRIVATE KEY-----", "assigned_token": "token", "email": "@", "ipv4": "."}
 LICENCE = r"(?i)\blicen[sc]ed?\b"
 # Fixed value: the first line of the public large-file pointer format.
 STUB = r"^version https://git-lfs\.github\.com/spec/v1\n"
 
 
-def hits(text: Column, pattern: str, needs: str | None = None) -> Column:
+def hits(text: Column, pattern: str, literal: str | None = None) -> Column:
     """How often ``pattern`` occurs in ``text``; 0 where it is null, or lacks the literal that it needs."""
     found = F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.coalesce(F.when(text.contains(needs), found) if needs else found, F.lit(0))
+    return F.coalesce(F.when(text.contains(literal), found) if literal else found, F.lit(0))
+
+
+def needs(name: str, pattern: str) -> str | None:
+    """The literal without which the pattern can't occur, if it is one of those above."""
+    return NEEDS.get(name) if (CREDENTIALS | PERSONAL).get(name) == pattern else None
 
 
 def any_of(text: Column, patterns: dict[str, str]) -> Column:
     """Whether any of the patterns occurs: those that need a literal by themselves, the others in one pass."""
-    plain = [f"(?:{p})" for k, p in patterns.items() if k not in NEEDS]
+    plain = [f"(?:{p})" for k, p in patterns.items() if not needs(k, p)]
     out = text.rlike("|".join(plain)) if plain else F.lit(False)
     for k, p in patterns.items():
-        if k in NEEDS:
-            out = (text.contains(NEEDS[k]) & text.rlike(p)) | out
+        if literal := needs(k, p):
+            out = (text.contains(literal) & text.rlike(p)) | out
     return out
 
 

@@ -15,7 +15,7 @@ def marker_scan(corpus: DataFrame, families: dict[str, str] = P.CREDENTIALS, tex
     turned into a row per family: nothing but partial sums is shuffled. No
     matched text is ever returned. Null texts count nothing.
     """
-    counted = corpus.select(*[P.hits(F.col(text), p).alias(f) for f, p in families.items()])
+    counted = corpus.select(*[P.hits(F.col(text), p, P.needs(f, p)).alias(f) for f, p in families.items()])
     sums = counted.agg(
         *[F.struct(F.lit(f).alias("family"), F.coalesce(F.sum(F.col(f).cast("long")), F.lit(0)).alias("hits"), F.count_if(F.col(f) > 0).alias("docs")).alias(f) for f in families]
     )
@@ -45,7 +45,7 @@ def personal_data(corpus: DataFrame, kinds: dict[str, str] = P.PERSONAL, key: st
     The counts are one struct, made once for each text and dropped where it is
     all zeros; a filter above a projection would count twice.
     """
-    counted = F.struct(*[P.hits(F.col(text), p, P.NEEDS.get(k)).alias(k) for k, p in kinds.items()])
+    counted = F.struct(*[P.hits(F.col(text), p, P.needs(k, p)).alias(k) for k, p in kinds.items()])
     some = F.filter(F.array(counted), lambda c: F.greatest(*[c[k] for k in kinds], F.lit(0)) > 0)
     return corpus.select(key, F.inline(some))
 
@@ -75,7 +75,7 @@ def document_audit(corpus: DataFrame, key: str = "doc_id", text: str = "text") -
     body = F.col(text)
     families, kinds = list(P.CREDENTIALS), list(P.PERSONAL)
     counted = F.struct(
-        *[P.hits(body, p, P.NEEDS.get(k)).cast("long").alias(k) for k, p in (P.CREDENTIALS | P.PERSONAL).items()],
+        *[P.hits(body, p, P.needs(k, p)).cast("long").alias(k) for k, p in (P.CREDENTIALS | P.PERSONAL).items()],
         F.coalesce(F.size(P.licence_lines_of(body)), F.lit(0)).cast("long").alias("licence_lines"),
     )
     rows = corpus.select(key, F.inline(F.array(counted)))
