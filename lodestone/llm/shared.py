@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it names none, as in local tests, one of our own."""
+    """The cluster's shared folder; where it names none, one in the warehouse, which all share too, or a local one if all of Spark is local."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        root = "file://" + tempfile.mkdtemp(prefix="lodestone-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodestone"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -7,7 +7,8 @@ whose blocks hold HTTP headers only. A block longer than ``SEGMENT_BYTES`` is
 cut into a first record and continuation records. Tasks write gzip archives
 with Spark's text writer, whose line separator is the end mark of a record.
 
-Reading. Tasks walk through whole archives, record by record. Segments are
+Reading. Tasks inflate archives part by part, and walk through them record by
+record; each archive is parsed once. Segments are
 grouped by the identifier of their first record, ordered by segment number, and
 joined if the numbers have no gap and the total length is right; then chunked
 framing is decoded. Revisits take payload size and digest from the response
@@ -16,8 +17,11 @@ they name. Only segmented records are shuffled with their blocks.
 Defined cases: a null or empty HTML is an empty payload; null ids come after
 all others; of repeated rows one is the response; a broken group of segments or
 broken framing gives a row with ``error`` and a null payload; an archive cut off
-inside a record raises ``ValueError``. Rows are numbered by their place in the
-input, so that has to be a stored table, which Spark reads alike each time.
+inside a record raises ``ValueError``; of equal payloads under one id the row that
+Spark numbers first is the response; an empty table gives archives without pages,
+and no rows. Other columns are not looked at, whatever their names. Rows are
+numbered by their place in the input, so that has to be a stored table, which
+Spark reads alike each time.
 """
 
 from __future__ import annotations
@@ -30,10 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import Scratch
+
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
-RECORDS_PER_FILE = 20_000
+#: Records of a file, each of a segment at most, which bounds its bytes.
+RECORDS_PER_FILE = 4_000
+#: Bytes that a reader inflates at a time.
+PART_BYTES = 1 << 20
 _END = b"\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"  # fixed, so that archives of equal pages are equal
 _SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to_id string, refers_to long, digest string, segment int, origin string, total long, block binary"
@@ -124,29 +133,52 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
+def _inflated(archive: bytes) -> Iterator[bytes]:
+    """An archive's bytes, part by part; whole if it isn't compressed."""
+    if archive[:2] != b"\x1f\x8b":
+        yield archive
+        return
+    rest = archive
+    while rest:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = member.decompress(rest, PART_BYTES)
+            rest = member.unconsumed_tail
+            if part:
+                yield part
+            elif not rest and not member.eof:
+                raise ValueError("archive cut off inside a gzip member")
+        rest = member.unused_data
+
+
+def _next(held: bytes, at: int, before: int) -> tuple[dict[str, str], bytes, int] | None:
+    """Fields and block of the record at ``at``, and where it ends; None if it isn't there in full."""
+    if not b"WARC/".startswith(held[at : at + 5]):
+        raise ValueError(f"no WARC record at byte {before + at}")
+    head = held.find(_END, at)
+    if head < 0:
+        return None
+    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in held[at:head].decode().split("\r\n")[1:])}
+    start, size = head + 4, int(fields["content-length"])
+    end = start + size + 4
+    if len(held) < end:
+        return None
+    if held[end - 4 : end] != _END:
+        raise ValueError(f"record cut off at byte {before + at}")
+    return fields, held[start : end - 4], end
+
+
 def records_in(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of an archive."""
-    if archive[:2] == b"\x1f\x8b":
-        parts, rest = [], archive
-        while rest:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest))
-            if not member.eof:
-                raise ValueError("archive cut off inside a gzip member")
-            rest = member.unused_data
-        archive = b"".join(parts)
-    at = 0
-    while at < len(archive):
-        head = archive.find(_END, at)
-        lines = archive[at:head].decode().split("\r\n")
-        if head < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start, size = head + 4, int(fields["content-length"])
-        if archive[start + size : start + size + 4] != _END:
-            raise ValueError(f"record cut off at byte {at}")
-        yield fields, archive[start : start + size]
-        at = start + size + 4
+    held, before = b"", 0
+    for part in _inflated(archive):
+        held, at = held + part, 0
+        while at < len(held) and (found := _next(held, at, before)):
+            fields, block, at = found
+            yield fields, block
+        held, before = held[at:], before + at
+    if held:
+        raise ValueError(f"record cut off at byte {before}")
 
 
 def _page(record_id: str | None) -> int | None:
@@ -218,7 +250,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, error`` of each page; revisits are resolved."""
-    rows = read(spark, folder).select("record_id", "page_id", "record_type", "refers_to_id", "refers_to", "error", F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"))
+    rows = Scratch(spark, "warc-pages").write(read(spark, folder).select("record_id", "page_id", "record_type", "refers_to_id", "refers_to", "error", F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest")), "pages")
     first = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("own_bytes").alias("first_bytes"), F.col("own_digest").alias("first_digest"))
     all_ = rows.join(first.hint("merge"), "refers_to_id", "left")
     revisit = F.col("record_type") == "revisit"

@@ -81,3 +81,16 @@ def test_broken_archives():
             warc.unchunked(body)
     for n in (0, 1, 10, 11):
         assert warc.unchunked(warc.chunked(b"x" * n, 10)) == b"x" * n
+
+
+@pytest.mark.parametrize("part", [1, 7, 1 << 20])
+def test_archives_are_inflated_part_by_part(monkeypatch, part):
+    monkeypatch.setattr(warc, "PART_BYTES", part)
+    records = [warc._record({"WARC-Type": "response", "WARC-Record-ID": f"<r:{k}>"}, b"\r\n\r\nWARC/" * k) + warc._END for k in range(20)]
+    members = b"".join(gzip.compress(b"".join(records[k : k + 3])) for k in range(0, 20, 3))
+    for archive in (members, b"".join(records)):
+        assert [(f["warc-record-id"], b) for f, b in warc.records_in(archive)] == [(f"<r:{k}>", b"\r\n\r\nWARC/" * k) for k in range(20)]
+    for broken in (members[:-9], b"".join(records)[:-1], b"".join(records) + b"WAR", b"x" + records[0]):
+        with pytest.raises(ValueError):
+            list(warc.records_in(broken))
+    assert list(warc.records_in(b"")) == []
