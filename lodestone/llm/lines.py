@@ -54,7 +54,7 @@ BLOCK = 512
 #: Lines of a block that are compared one by one before the others.
 HUBS = 8
 #: Bytes of a table that is broadcast at most.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 #: Rows of a bucket that wait for the rest of it at most; a larger one passes whole.
 HELD_ROWS = 100_000
 _LINES_PER_BATCH = 20_000
