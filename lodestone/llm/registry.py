@@ -88,6 +88,10 @@ def _words(text: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
 
 
+#: UTF-8 in hexadecimal digits: runs of whole characters; and these, beginnings of one, or a byte that is neither.
+_CHARACTERS = r"(?:[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9A-CEF](?:[89AB].){2}|ED[89].[89AB].|F0[9AB].(?:[89AB].){2}|F[123](?:[89AB].){3}|F48.(?:[89AB].){2})+"
+_UTF8 = _CHARACTERS + r"|F0[9AB].(?:[89AB].)?|F[123](?:[89AB].){1,2}|F48.(?:[89AB].)?|E0[AB].|E[1-9A-CEF][89AB].|ED[89].|.."
+
 ORACLE: dict[str, str] = {
     "op1_minhash_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_words("text", _NOT_SPACE)} AS w FROM documents),
@@ -104,6 +108,63 @@ ORACLE: dict[str, str] = {
         root AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM root LEFT JOIN n USING (doc_id)
     """,
+    # Lines within two edits have one of three segments in common, moved by two places at most; distances are of
+    # characters, which stand for their number in the pair's alphabet since the function compares bytes.
+    "op3_line_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+        x AS (SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d WHERE doc_id IS NOT NULL)),
+        e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY line) AS id, line, length(line) AS n FROM (SELECT DISTINCT line FROM x WHERE length(line) >= {lines.MIN_CHARS})),
+        k AS (SELECT unnest(range(3)) AS k),
+        segments AS (SELECT id, n, k, substring(line, k * n // 3 + 1, (k + 1) * n // 3 - k * n // 3) AS s FROM e, k),
+        probes AS (
+            SELECT DISTINCT id, t AS n, k, substring(line, k * t // 3 + 1 + move, (k + 1) * t // 3 - k * t // 3) AS s
+            FROM (SELECT id, line, n - less AS t, k, move FROM e, k, (SELECT unnest(range(3)) AS less), (SELECT unnest(range(-2, 3)) AS move))
+            WHERE k * t // 3 + move >= 0
+        ),
+        pairs AS (SELECT DISTINCT p.id AS a, s.id AS b FROM probes p JOIN segments s USING (n, k, s) WHERE p.id <> s.id),
+        known AS (SELECT a, b, x.line AS p, y.line AS q, list_distinct(string_split(x.line || y.line, '')) AS abc FROM pairs JOIN e x ON x.id = a JOIN e y ON y.id = b),
+        near AS (
+            SELECT a, b FROM known
+            WHERE levenshtein(list_aggregate(list_transform(string_split(p, ''), lambda c: chr(list_position(abc, c))), 'string_agg', ''),
+                list_aggregate(list_transform(string_split(q, ''), lambda c: chr(list_position(abc, c))), 'string_agg', '')) <= {lines.EDITS}
+        ),
+        links AS MATERIALIZED (SELECT a, b FROM near UNION SELECT b, a FROM near),
+        reach(a, b) AS (SELECT id, id FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        root AS (SELECT line, CAST(min(b) AS VARCHAR) AS class FROM reach JOIN e ON id = a GROUP BY line),
+        judged AS (
+            SELECT doc_id, line_no, line, CASE WHEN length(line) >= {lines.MIN_CHARS} THEN 'g' || class WHEN regexp_matches(line, '[^\\s\\pZ\\x0B\\x1C-\\x1F\\x85]') THEN 's' || line END AS class
+            FROM x LEFT JOIN root USING (line)
+        ),
+        marked AS (SELECT *, class IS NULL OR row(doc_id, line_no) = min(row(doc_id, line_no)) OVER (PARTITION BY class) AS stays FROM judged),
+        kept AS (SELECT doc_id, count(*) FILTER (NOT stays) AS n_removed, string_agg(line, chr(10) ORDER BY line_no) FILTER (stays) AS t FROM marked GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(l), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(CASE WHEN d.doc_id IS NULL THEN text ELSE t END, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    # Bytes are pairs of hexadecimal digits; what is no character of UTF-8 in the rest becomes U+FFFD.
+    "op5_repeated_bytes": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, c, substring(h, 2 * c + 1, {2 * (repeats.LENGTH + 255)}) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 256)) AS c FROM d)),
+        w AS (
+            SELECT doc_id, c + i AS i, md5(substring(h, 2 * i + 1, {2 * repeats.LENGTH})) AS m
+            FROM (SELECT doc_id, c, h, unnest(range(least(256, len(h) // 2 - {repeats.LENGTH - 1}))) AS i FROM c WHERE len(h) >= {2 * repeats.LENGTH})
+        ),
+        s AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+        g AS (SELECT doc_id, i, i > lag(i, 1, -{repeats.LENGTH + 1}) OVER (PARTITION BY doc_id ORDER BY i) + {repeats.LENGTH} AS opens FROM s),
+        runs AS (
+            SELECT doc_id, min(i) AS lo, max(i) + {repeats.LENGTH} AS hi
+            FROM (SELECT doc_id, i, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run
+        ),
+        gaps AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS behind FROM runs),
+        cut AS (
+            SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * behind + 1, 2 * (lo - behind)), '' ORDER BY lo) || substring(any_value(h), 2 * max(hi) + 1) AS rest
+            FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+        ),
+        kept AS (SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(rest, h) AS rest FROM d LEFT JOIN cut USING (doc_id)),
+        parts AS (SELECT *, regexp_extract_all(rest, '{_UTF8}') AS u FROM kept)
+        SELECT doc_id, n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256, n_removed > 0 AS changed,
+            coalesce(decode(unhex(list_aggregate(list_transform(u, lambda x: CASE WHEN regexp_full_match(x, '{_CHARACTERS}') THEN x ELSE 'EFBFBD' END), 'string_agg', ''))), '') AS text
+        FROM parts
+    """,
     "op6_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         links AS MATERIALIZED (

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from lodestone.llm import lines as L
 from lodestone.llm import registry
 from tests.llm.test_minhash import roots, twins
+from tests.oracle import same
 
 
 def distance(a, b):
@@ -150,6 +151,20 @@ def test_query_against_brute_force(spark):
     assert got == brute_quick(docs, {x for _, t in docs for x in t.split("\n")})
 
 
+def test_query_and_sql(spark):
+    got = same(spark, "op3_line_dedup", registry.op3_line_dedup, registry.ORACLE["op3_line_dedup"])
+    assert sum(r["n_removed"] for r in got) > 1000
+
+
+def test_sql_on_near_lines(spark, tmp_path):
+    """Chains of edits, also of characters of several bytes; blank, short, null and empty texts."""
+    rng = random.Random(8)
+    pool = [changed(rng, base, rng.randrange(4)) for base in ("".join(rng.choices("abcdefgh é€😀", k=rng.randrange(29, 60))) for _ in range(12)) for _ in range(6)]
+    docs = [(k, "\n".join(rng.choices([*pool, "short", "", " \t", "\u2003", "x"], k=rng.randrange(1, 8)))) for k in range(60)] + [(90, None), (91, ""), (92, "\n")]
+    spark.createDataFrame(docs, "doc_id long, text string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    same(spark, "op3_line_dedup", registry.op3_line_dedup, registry.ORACLE["op3_line_dedup"], str(tmp_path))
+
+
 def test_twins_are_told_apart(spark):
     """Lines that a polynomial hash modulo 2**64 takes for equal."""
     x, y = twins()

@@ -10,6 +10,7 @@ import pytest
 from lodestone.llm import registry
 from lodestone.llm import repeats as R
 from tests.llm.test_minhash import twins
+from tests.oracle import same
 
 
 def brute(docs, length):
@@ -107,3 +108,20 @@ def test_query_against_brute_force(spark, root):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
     got = digest(registry.op5_repeated_bytes(spark, root))
     assert got == brute(docs, 400) and sum(r[2] for r in got) > 10_000
+
+
+def test_query_and_sql(spark):
+    got = same(spark, "op5_repeated_bytes", registry.op5_repeated_bytes, registry.ORACLE["op5_repeated_bytes"])
+    assert sum(r["changed"] for r in got) > 50
+
+
+def test_sql_on_cut_characters(spark, tmp_path):
+    """Runs that begin or end within a character, touch, overlap, or are a whole text."""
+    shared = "".join(random.Random(4).choices("abcdé€😀 ", k=600))
+    raw = shared.encode()
+    docs = [(k, None if k == 5 else "" if k == 6 else t) for k, t in enumerate(["é" + shared + "x", "ê" + shared, "😀q" + shared[1:] + "😁", shared[3:500], shared, "", ""])]
+    docs += [(50, "a" * 401), (51, shared[:300] + "b" * 399), (52, raw[:450].decode(errors="ignore") + "😁"), (53, raw[:450].decode(errors="ignore") + "😂")]
+    docs += [(60 + k, x + "c" * 399) for k, x in enumerate("éèàñ€₤😁😂")]
+    spark.createDataFrame(docs, "doc_id long, text string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    got = same(spark, "op5_repeated_bytes", registry.op5_repeated_bytes, registry.ORACLE["op5_repeated_bytes"], str(tmp_path))
+    assert any("\ufffd" in r["text"] for r in got)
