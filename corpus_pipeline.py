@@ -40,12 +40,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest id of each near-duplicate group.
 
     Rows without an id stay. Of rows with one id that with the longest text
-    stays, and of equally long ones that with the greatest columns.
+    stays, and of equally long ones that with the greatest columns as JSON. Only
+    such rows are grouped; the others pass through one join.
     """
-    kept = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    one = known.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("_"), F.struct(*docs.columns).alias("row"))).alias("x")).select("x.row.*")
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    judged = minhash.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    kept = Scratch(spark, "near_duplicates").write(judged.filter("kept").select("doc_id", (F.col("rows") > 1).alias("several")))
+    known = lambda several: docs.join(kept.filter(F.col("several") == several).select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    out = docs.filter("doc_id IS NULL").unionByName(known(False))
+    if not kept.filter("several").head(1):
+        return out
+    whole = F.struct(*docs.columns)
+    best = known(True).groupBy(F.col("doc_id").alias("_")).agg(F.max_by(whole, F.struct(F.length("text").alias("n"), F.to_json(whole).alias("row"))).alias("row"))
+    return out.unionByName(best.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
