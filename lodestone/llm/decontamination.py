@@ -3,28 +3,34 @@
 Test items and documents are lower-cased (A-Z) and cut into words. A window is
 ``size`` consecutive words of an item; an item with fewer words, but not none,
 is one window. The hashes of all windows are broadcast in a block whose size is
-checked; a larger test set is split by item into several such blocks, each
-scanned over the documents, and the results merged by document. A window of a
-document whose hash is in the set is compared word by word before it counts.
+checked; a larger test set is split by item into several such blocks. These are
+scanned one after the other: the driver holds one at a time, and the documents
+carry what was found so far from block to block through a written table. A
+window of a document whose hash is in the set is compared word by word before
+it counts.
 
 Defined cases: a null or wordless text has no words and no hits; a null or
 wordless item has no windows; an item with a null id but a text hits and isn't
 named; repeated documents are judged one by one; equal items under two ids are
-both named; an empty benchmark contaminates nothing.
+both named; an empty benchmark contaminates nothing, and an empty table of
+documents gives an empty one; a text of any length is scanned whole; further
+columns stay in ``remove`` whatever their names and types, and ``scan`` reads
+none but its key and text (a key named as one of its results is refused).
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.patterns import spare
+from lodestone.llm.shared import Scratch
 from lodestone.llm.textbytes import ALNUM_SPLIT, Words, sequence_hash, slices, utf8
 
 #: Words in a window.
@@ -35,7 +41,8 @@ BLOCK_BYTES = 8 << 20
 SHARE = 20
 _FILTER_BITS = 22
 
-SCANNED = "n_words long, n_hit long, item_ids array<string>, spans array<struct<first: long, last: long, begin: long, end: long>>"
+_SPANS = "array<struct<first: long, last: long, begin: long, end: long>>"
+SCANNED = f"n_words long, n_hit long, item_ids array<string>, spans {_SPANS}"
 _SPAN = pa.struct([(x, pa.int64()) for x in ("first", "last", "begin", "end")])
 
 
@@ -90,118 +97,105 @@ def _runs(words: Words, hit: np.ndarray, doc: int, offset: int) -> list[dict]:
     return [{"first": int(x), "last": int(y), "begin": int(words.start[a + x] - offset), "end": int(words.end[a + y - 1] - offset)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The test items, at most about ``block_bytes`` of text at a time; one item is never split."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+class _Found(NamedTuple):
+    """What a slice of rows holds, by the blocks so far: which words are hit, how many by document, and whose windows they are."""
+
+    rows: pa.RecordBatch
+    words: Words
+    hit: np.ndarray
+    n_hit: np.ndarray
+    items: dict[int, set[str]]
+    offsets: np.ndarray
+
+    def runs(self) -> pa.Array:
+        return pa.array([_runs(self.words, self.hit, d, self.offsets[d]) if self.n_hit[d] else [] for d in range(self.rows.num_rows)], pa.list_(_SPAN))
+
+    def item_ids(self) -> pa.Array:
+        return pa.array([sorted(self.items.get(d, ())) for d in range(self.rows.num_rows)], pa.list_(pa.string()))
 
 
-def _scanner(broadcast, text: str, results):
+def _scanner(broadcast, text: str, results: Callable[[_Found], pa.RecordBatch], held: tuple[str, str] | None):
+    """``held``: the columns with the hit words and items of earlier blocks."""
+
     def run(batches):
         windows = broadcast.value
         filters = windows.filters()
         for rows, data, offsets in slices(batches, text):
             words = Words(data, offsets, ALNUM_SPLIT)
             hit, items = _scan(words, windows, filters)
-            n_hit = np.bincount(words.doc[hit], minlength=rows.num_rows)
-            yield results(rows, words, hit, n_hit, items, offsets)
+            if held:
+                for d, (spans, ids) in enumerate(zip(*(rows.column(c).to_pylist() for c in held), strict=True)):
+                    for span in spans:
+                        hit[words.first[d] + span["first"] : words.first[d] + span["last"]] = True
+                    if ids:
+                        items[d].update(ids)
+            yield results(_Found(rows, words, hit, np.bincount(words.doc[hit], minlength=rows.num_rows), items, offsets))
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``key, n_words, n_hit, item_ids, spans`` per document; spans are byte ranges of its UTF-8 text.
+def _over_blocks(docs: DataFrame, benchmark: DataFrame, size: int, text: str, item_id: str, item_text: str, block_bytes: int, results: Callable[[_Found], pa.RecordBatch], schema) -> DataFrame:
+    """``results`` of the documents after all blocks of test items; one item is never split.
 
-    One pass over the documents and no shuffle while the test set fits a block.
+    One pass and nothing written while the test set fits a block. Otherwise each
+    block but the last writes the documents with what it and its predecessors found.
     """
     spark = docs.sparkSession
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL").distinct()
+    n = max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0] // block_bytes))
+    held = None
+    if n > 1:
+        spans = spare("_spans", docs.columns)
+        held = (spans, spare("_items", [*docs.columns, spans]))
+        docs = docs.withColumns({held[0]: F.array().cast(_SPANS), held[1]: F.array().cast("array<string>")})
+
+    def carry(found: _Found) -> pa.RecordBatch:
+        rows = found.rows
+        for name, column in zip(held, (found.runs(), found.item_ids()), strict=True):
+            rows = rows.set_column(rows.schema.get_field_index(name), name, column)
+        return rows
+
+    scratch = Scratch(spark, "decontamination") if n > 1 else None
+    for k in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(n)) == k)
+        block = spark.sparkContext.broadcast(Windows.of([(r.i, r.t) for r in part.collect()], size))
+        if k == n - 1:
+            return docs.mapInArrow(_scanner(block, text, results, held), schema)
+        docs = scratch.write(docs.mapInArrow(_scanner(block, text, carry, held), docs.schema), f"block-{k}")
+        block.destroy()
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``key, n_words, n_hit, item_ids, spans`` per document; spans are byte ranges of its UTF-8 text. No shuffle of documents."""
+    names = [key, "n_words", "n_hit", "item_ids", "spans"]
+    if key in names[1:]:
+        raise ValueError(f"the key is named as a result: {key}")
     narrow = docs.select(key, text)
-    schema = f"{key} {narrow.schema[key].dataType.simpleString()}, {SCANNED}"
-
-    def results(rows, words, hit, n_hit, items, offsets):
-        n = rows.num_rows
-        return pa.RecordBatch.from_arrays(
-            [
-                rows.column(key),
-                pa.array(words.counts, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                pa.array([_runs(words, hit, d, offsets[d]) if n_hit[d] else [] for d in range(n)], pa.list_(_SPAN)),
-            ],
-            [key, "n_words", "n_hit", "item_ids", "spans"],
-        )
-
-    blocks = [spark.sparkContext.broadcast(Windows.of(b, size)) for b in _blocks(spark, benchmark, item_id, item_text, block_bytes)]
-    if len(blocks) == 1:
-        return narrow.mapInArrow(_scanner(blocks[0], text, results), schema)
-    return _merged([narrow.mapInArrow(_scanner(b, text, results), schema) for b in blocks], key)
-
-
-def _merged(parts: list[DataFrame], key: str) -> DataFrame:
-    """The scans of several blocks as one: a document's items and runs of hit words are united.
-
-    A document brings a row per block, so no group is larger than that times
-    the number of rows with the same key, which are kept apart by their order.
-    """
-    union = parts[0].withColumn("_part", F.lit(0))
-    for k, part in enumerate(parts[1:], 1):
-        union = union.unionByName(part.withColumn("_part", F.lit(k)))
-    same_key = Window.partitionBy(key, "_part").orderBy("n_words", F.to_json("spans"), F.to_json("item_ids"))
-    numbered = union.withColumn("_row", F.row_number().over(same_key))
-    joined = numbered.groupBy(key, "_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
-
-    def unite(acc, x):
-        top = F.get(acc, F.size(acc) - 1)
-        longer = F.struct(top["first"].alias("first"), F.greatest(top["last"], x["last"]).alias("last"), top["begin"].alias("begin"), F.greatest(top["end"], x["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (top["last"] >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
-
-    empty = F.array().cast("array<struct<first: long, last: long, begin: long, end: long>>")
-    return joined.select(key, "n_words", "item_ids", F.aggregate("all", empty, unite).alias("spans")).select(
-        key, "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"]).alias("n_hit"), "item_ids", "spans"
-    )
+
+    def results(found: _Found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([found.rows.column(key), pa.array(found.words.counts, pa.int64()), pa.array(found.n_hit, pa.int64()), found.item_ids(), found.runs()], names)
+
+    return _over_blocks(narrow, benchmark, size, text, item_id, item_text, block_bytes, results, f"`{key}` {narrow.schema[key].dataType.simpleString()}, {SCANNED}")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, how: str = "documents", size: int = SIZE, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without contaminated ones, or (``how="spans"``) without their hit bytes.
+    """The documents without contaminated ones, or (``how="spans"``) without their hit bytes. All columns stay; no shuffle of documents."""
+    columns = docs.columns
 
-    All columns stay. One pass without a shuffle for each block of the test set;
-    with ``"documents"`` the blocks' verdicts are exact only together, so that
-    form carries the runs of hit words along while there is more than one block.
-    """
-    spark, schema, marks = docs.sparkSession, docs.schema, "_runs_of_hit_words"
-    blocks = list(_blocks(spark, benchmark, item_id, item_text, block_bytes))
-
-    def results(rows, words, hit, n_hit, items, offsets, last):
-        if marks in rows.schema.names:
-            for d, old in enumerate(rows.column(marks).to_pylist()):
-                for run in old or ():
-                    hit[words.first[d] + run["first"] : words.first[d] + run["last"]] = True
-            n_hit = np.bincount(words.doc[hit], minlength=rows.num_rows)
-            if not last:
-                runs = pa.array([_runs(words, hit, d, offsets[d]) if n_hit[d] else [] for d in range(rows.num_rows)], pa.list_(_SPAN))
-                return rows.set_column(rows.schema.get_field_index(marks), marks, runs)
-            rows = rows.drop_columns([marks])
+    def results(found: _Found) -> pa.RecordBatch:
+        rows = found.rows.select(columns)
         if how == "documents":
-            return rows.filter(pa.array((n_hit == 0) | (n_hit * SHARE < words.counts)))
+            return rows.filter(pa.array((found.n_hit == 0) | (found.n_hit * SHARE < found.words.counts)))
         column, kept = rows.schema.get_field_index(text), rows.column(text).to_pylist()
-        for d in np.flatnonzero(n_hit).tolist():
+        for d in np.flatnonzero(found.n_hit).tolist():
             raw, parts, at = kept[d].encode(), [], 0
-            for run in _runs(words, hit, d, offsets[d]):
+            for run in _runs(found.words, found.hit, d, found.offsets[d]):
                 parts.append(raw[at : run["begin"]])
                 at = run["end"]
             kept[d] = b"".join([*parts, raw[at:]]).decode()
         return rows.set_column(column, rows.schema.field(column), pa.array(kept, rows.schema.field(column).type))
 
-    if len(blocks) > 1:
-        docs = docs.withColumn(marks, F.array().cast("array<struct<first: long, last: long, begin: long, end: long>>"))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        docs = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(Windows.of(block, size)), text, partial(results, last=last)), schema if last else docs.schema)
-    return docs
+    return _over_blocks(docs, benchmark, size, text, item_id, item_text, block_bytes, results, docs.schema)
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

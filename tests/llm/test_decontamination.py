@@ -84,6 +84,19 @@ def test_items_without_id(spark):
         assert [r.doc_id for r in D.remove(a, b, block_bytes=block).collect()] == [3]
 
 
+def test_clashing_names(spark):
+    """Columns named as anything that the operator uses stay as they are, maps too."""
+    docs, items = cases()
+    a, b = frames(spark, docs, items)
+    odd = a.selectExpr("*", "'s' AS _spans", "'i' AS _items", "1 AS _part", "2 AS _row", "'r' AS _runs_of_hit_words", "map('a', doc_id) AS m", "7 AS item_id", "'z' AS i")
+    clean = sorted((r[0] for r in brute(docs, items) if not r[-1]), key=repr)
+    for block in (D.BLOCK_BYTES, 400):
+        kept = D.remove(odd, b, block_bytes=block)
+        assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == clean
+        assert {(r._spans, r._items, r._runs_of_hit_words, r.m["a"] == r.doc_id) for r in kept.filter("doc_id IS NOT NULL").collect()} == {("s", "i", "r", True)}
+        assert D.remove(odd.limit(0), b, block_bytes=block).count() == 0
+
+
 def test_empty(spark):
     docs, items = cases()
     a, b = frames(spark, docs, items)

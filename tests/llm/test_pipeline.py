@@ -55,3 +55,12 @@ def test_run_and_empty(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{root}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_and_map_columns(spark):
+    """Of rows with one id the longest stays, whatever their further columns; rows without an id stay."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b"), (2, "x y z"), (2, "x y z"), (None, "n"), (None, "n"), (3, "a b c d e f g")], "doc_id long, text string")
+    odd = docs.selectExpr("*", "map('k', doc_id) AS m", "1 AS several", "2 AS kept", "3 AS `_`", "4 AS row")
+    got = corpus_pipeline.near_duplicates(spark, odd, "")
+    assert got.columns == odd.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "n"), (0, "n"), (1, "a b c d e f g"), (2, "x y z")]
