@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, pii, repeats, warc
+from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, phrases, pii, repeats, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -66,6 +66,10 @@ def op10_pii(spark: SparkSession, root: str) -> DataFrame:
     return marked.select("doc_id", "text", count(*pii.PATTERNS).alias("n_values"), count("date").alias("n_dates"), count("email").alias("n_emails"))
 
 
+def op11_phrase_mining(spark: SparkSession, root: str) -> DataFrame:
+    return phrases.mine(_table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op11_phrase_mining": op11_phrase_mining,
 }
 
 _UPPER, _LOWER = ("".join(chr(c + k) for c in range(65, 91)) for k in (0, 32))
@@ -203,4 +208,33 @@ ORACLE: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    # Longer candidates are one word longer: phrases have three words at most.
+    "op11_phrase_mining": f"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+            FROM documents
+        ),
+        g AS (
+            SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+        ),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {phrases.LEAST}),
+        longer AS (
+            SELECT lang, phrase, max(a) AS longer
+            FROM (SELECT lang, a, array_to_string(list_slice(w, 1, 2), ' ') AS phrase FROM c WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(list_slice(w, 2, 3), ' ') AS phrase FROM c WHERE k = 3)
+            GROUP BY lang, phrase
+        ),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, cut), ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, cut + 1, c.k), ' ')
+        ),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.longer IS NULL OR 100 * o.longer < {phrases.PERCENT} * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}
+    """,
 }
