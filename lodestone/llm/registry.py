@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, phrases, pii, repeats, warc
+from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, mixture, phrases, pii, repeats, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -70,6 +70,10 @@ def op11_phrase_mining(spark: SparkSession, root: str) -> DataFrame:
     return phrases.mine(_table(spark, root, "documents"))
 
 
+def op12_source_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.mix(_table(spark, root, "documents")).taken()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
     "op11_phrase_mining": op11_phrase_mining,
+    "op12_source_mix": op12_source_mix,
 }
 
 _UPPER, _LOWER = ("".join(chr(c + k) for c in range(65, 91)) for k in (0, 32))
@@ -237,4 +242,28 @@ ORACLE: dict[str, str] = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM kept JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}
     """,
+    # What the mix takes is the first words of each source's stream; the schedule only orders them.
+    "op12_source_mix": f"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}')) AS size, substr(md5('{mixture.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS mark
+            FROM documents
+        ),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no, 2 * source_size AS most FROM s),
+        v AS (SELECT *, list_extract([3, 1, 2], CAST((no - 1) % 3 + 1 AS INT)) AS weight FROM w),
+        o AS (
+            SELECT *, 150 * sum(source_size) OVER () - 100 * coalesce(sum(most) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unspent,
+                sum(weight) OVER (k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER k AS place
+            FROM v WINDOW k AS (ORDER BY source_size / weight, no)
+        ),
+        c AS (SELECT *, unspent * weight >= most * rest * 100 AS is_full FROM o),
+        f AS (SELECT unspent, rest FROM c WHERE NOT is_full ORDER BY place LIMIT 1),
+        t AS (
+            SELECT source, source_size, CASE WHEN is_full THEN CAST(most AS DOUBLE) ELSE CAST((SELECT unspent FROM f) * weight AS DOUBLE) / CAST((SELECT rest FROM f) * 100 AS DOUBLE) END AS target
+            FROM c
+        ),
+        p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mark, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+        SELECT doc_id, size, source_size, target, CAST(greatest(0, least(start + size, floor(target)) - start) + greatest(0, least(start + source_size + size, floor(target)) - start - source_size) AS BIGINT) AS taken
+        FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+    """,
 }
