@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, mixture, phrases, pii, repeats, warc
+from lodestone.llm import bpe, decontamination, embeddings, langid, lines, maintext, minhash, mixture, phrases, pii, repeats, search, warc
 from lodestone.llm.shared import Scratch
 
 
@@ -74,6 +74,10 @@ def op12_source_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixture.mix(_table(spark, root, "documents")).taken()
 
 
+def op13_lexical_search(spark: SparkSession, root: str) -> DataFrame:
+    return search.search(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_phrase_mining": op11_phrase_mining,
     "op12_source_mix": op12_source_mix,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _UPPER, _LOWER = ("".join(chr(c + k) for c in range(65, 91)) for k in (0, 32))
@@ -266,4 +271,17 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, size, source_size, target, CAST(greatest(0, least(start + size, floor(target)) - start) + greatest(0, least(start + source_size + size, floor(target)) - start - source_size) AS BIGINT) AS taken
         FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
     """,
+    "op13_lexical_search": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS no, {_words("text", _NOT_ALNUM)} AS w FROM documents),
+        k AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_words("text", _NOT_ALNUM)}) AS term FROM benchmark) GROUP BY ALL),
+        t AS (SELECT no, term, count(*) AS tf FROM (SELECT no, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        g AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM t GROUP BY term), k),
+        m AS (SELECT doc_id, no, 25 + (75 * len(w) * docs) // terms AS m FROM d, k),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM q JOIN t USING (term) JOIN g USING (term) JOIN m USING (no) GROUP BY item_id, no, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {search.TOP}
+    """,
 }
