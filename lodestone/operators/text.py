@@ -22,6 +22,18 @@ def marker_scan(corpus: DataFrame, families: dict[str, str] = P.CREDENTIALS, tex
     return sums.select(F.inline(F.array(*families)))
 
 
+def body_markers(pieces: DataFrame, families: dict[str, str] = P.CREDENTIALS, path: str = "path", text: str = "text") -> DataFrame:
+    """``family, hits, bodies`` from pieces of bodies that no marker reaches over (``sources.ranges``); families without a hit stay, with 0.
+
+    A body's pieces are added up before bodies are counted, so one with very many
+    pieces is a row for each task. A null path is a body of its own.
+    """
+    counted = pieces.select(F.col(path).alias("path"), *[P.hits(F.col(text), p, P.needs(f, p)).cast("long").alias(f) for f, p in families.items()])
+    each = counted.groupBy("path").agg(*[F.sum(f).alias(f) for f in families])
+    sums = each.agg(*[F.struct(F.lit(f).alias("family"), F.coalesce(F.sum(f), F.lit(0)).alias("hits"), F.count_if(F.col(f) > 0).alias("bodies")).alias(f) for f in families])
+    return sums.select(F.inline(F.array(*families)))
+
+
 def stub_status(corpus: DataFrame, text: str = "text") -> DataFrame:
     """``status, n`` for pointer-only bodies, bodies with content and missing bodies (null)."""
     status = F.when(F.col(text).isNull(), "missing").when(F.col(text).rlike(P.STUB), "pointer_only").otherwise("content")
