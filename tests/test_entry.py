@@ -21,10 +21,8 @@ def test_names():
 
 def test_the_rest_works_alone(tmp_path):
     """Without the optional folders and file, the other queries are still there, and run."""
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
     code = f"""
-import sys, shutil
-shutil.copytree({str(ROOT)!r}, {str(tmp_path / "r")!r}, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
-sys.path.insert(0, {str(tmp_path / "r")!r})
 import __spark_entry__ as e
 assert e.__file__.startswith({str(tmp_path)!r})
 assert len(e.queries()) == 24 == len(e.oracle_sql())
