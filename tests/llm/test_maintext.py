@@ -58,6 +58,53 @@ def test_hand_made(body, text):
     assert M.main_text(WRAP % body) == text
 
 
+P, TWO, THREE = f"<p>{PARAGRAPH}</p>", f"{PARAGRAPH}\n{PARAGRAPH}", f"{PARAGRAPH}\n{PARAGRAPH}\n{PARAGRAPH}"
+MENU = "<ul><li><a href=/a>Home</a><li><a href=/b>World news</a><li><a href=/c>Sport</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Elements whose tag or name speaks against them, but which hold the article.
+        (f"<body><form id=aspnetForm><div id=menu>{MENU}</div><div id=body><h1>Title</h1>{P}{P}</div><div id=footer>&copy; 2024</div></form></body>", f"Title\n{TWO}"),
+        (WRAP % f"<main><div id=login><h2>Sign in</h2>{P}{P}{P}</div></main>", f"Sign in\n{THREE}"),
+        (WRAP % f"<article>{P}<section id=sharing><h2>Sharing</h2>{P}{P}</section></article>", f"{PARAGRAPH}\nSharing\n{TWO}"),
+        (WRAP % f"<article><h1>Bistro</h1>{P}{P}<section id='menu'><h2>Menu</h2>{P}</section></article>", f"Bistro\n{TWO}\nMenu\n{PARAGRAPH}"),
+        (f"<body><div class=sidebar><h1>Title</h1>{P}{P}</div><div class=nav>{MENU}</div></body>", f"Title\n{TWO}"),
+        (f"<body><aside><h1>Title</h1>{P}{P}</aside></body>", f"Title\n{TWO}"),
+        (f"<body><div role=dialog><div class=popup>{P}{P}</div></div></body>", TWO),
+        # The body holds the content.
+        (f"<body><h1>Title</h1>{P}{P}{P}{P}<ul><li>one<li>two</ul></body>", f"Title\n{THREE}\n{PARAGRAPH}\none\ntwo"),
+        (f"<body><h1>Title</h1><h2>Part</h2>{P}{P}{P}<ul><li>one<li>two</ul></body>", f"Title\nPart\n{THREE}\none\ntwo"),
+        (f"<body><nav>{MENU}</nav><h1>Title</h1>{P}{P}{P}<footer>About</footer></body>", f"Title\n{THREE}"),
+        (f"<h1>Title</h1>{P}{P}{P}", f"Title\n{THREE}"),
+        # Headers.
+        (f"<body><header><h2>Site</h2>{MENU}</header><div class=post><header><h1>Title</h1></header>{P}{P}</div></body>", f"Title\n{TWO}"),
+        (f"<body><div id=page><header><b>Site name</b></header><div><h1>Title</h1>{P}{P}</div></div></body>", f"Title\n{TWO}"),
+        (f"<body><header><h1>Site</h1></header>{P}{P}{P}</body>", THREE),
+        # Links in an article, and beside it.
+        (WRAP % f"<article>{P}<ul><li><a href=/x>One link</a><li><a href=/y>Two</a></ul></article>", f"{PARAGRAPH}\nOne link\nTwo"),
+        (f"<body><div class=story>{P}<ul><li><a href=/x>One link</a></ul>{P}{MENU}</div></body>", f"{PARAGRAPH}\nOne link\n{PARAGRAPH}"),
+        (f"<body>{MENU}<div>{P}{P}</div>{MENU}</body>", TWO),
+        # What stands beside the text of an article.
+        (WRAP % f"<article>{P}<aside>{P}</aside><dialog open>{P}</dialog><object>Fallback, in the article.</object></article>", f"{THREE}\nFallback, in the article."),
+        (WRAP % f"<article>{P}{P}<aside>Tags</aside><footer>Posted by someone, on a day, in a place.</footer><nav>{MENU}</nav></article>", TWO),
+        # Reader comments, also where they are longer than the article.
+        (f"<body><div class=post><h1>Title</h1>{P}</div><div id=comments><h2>Comments</h2>{P * 9}</div></body>", f"Title\n{PARAGRAPH}"),
+        (WRAP % f"<article><h1>Title</h1>{P}<section class='comment-list'>{P * 9}</section></article>", f"Title\n{PARAGRAPH}"),
+        (f"<body><div id=comments>{P}{P}</div><p>ok</p></body>", TWO),
+        # Tables, definitions and quotations without any article element.
+        (f"<body><div id=content><h1>Title</h1>{P}<blockquote>{P}</blockquote><dl><dt>term<dd>what it means</dl><table><tr><th>a<th>b<tr><td>1<td>2</table></div><div class='related'>{MENU}</div></body>", f"Title\n{TWO}\nterm\nwhat it means\na\nb\n1\n2"),
+        (f"<body><div class=wrap><div class=ad>Buy this now!</div><div><h2>Part one</h2>{P}<h2>Part two</h2>{P}</div><div class='newsletter signup'><p>Get our news, every week.</p></div></div></body>", f"Part one\n{PARAGRAPH}\nPart two\n{PARAGRAPH}"),
+        (f"<body><div class='cookie banner'><p>We use cookies, as all do; read more.</p><button>Accept</button></div><div>{P}{P}</div></body>", TWO),
+        (f"<body><table><tr><td>{MENU}<td><h1>Title</h1>{P}{P}</table></body>", f"Title\n{TWO}"),
+        (f"<body><div><p hidden>{PARAGRAPH}</p>{P}<div style='display:none'>{P}</div></div></body>", PARAGRAPH),
+    ],
+)
+def test_pages_without_help(page, text):
+    assert M.main_text(page) == text
+
+
 def test_odd_pages():
     for page in ("", "   ", "<", "<p", "<html><body></body></html>", "<script>x", "<!-- x", "<a href='", "</p></div>"):
         assert M.main_text(page) in ("", "<")
@@ -81,3 +128,11 @@ def test_frames(spark):
     got = sorted(((r.page_id, r.url, r.text) for r in M.extract(frame).collect()), key=str)
     assert got == sorted([(1, "u", ""), (1, "u", ""), (None, None, PARAGRAPH), (3, "v", "")], key=str)
     assert M.extract(frame.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "h", "<p>one</p>", "k")], "page_id long, _html string, html string, _html_ string")
+    got = M.extract(frame, keep=("_html", "_html_", "html"))
+    assert got.columns == ["page_id", "_html", "_html_", "html", "text"] and [tuple(r) for r in got.collect()] == [(1, "h", "k", "<p>one</p>", "one")]
+    with pytest.raises(ValueError, match="text"):
+        M.extract(frame.withColumnRenamed("_html", "text"), keep=("text",))
