@@ -3,7 +3,8 @@
 1. Equal vectors are one class, represented by the smallest id.
 2. Cells, about as many as the square root of the number of vectors, are fitted
    by spherical k-means on a sample of 8 vectors a cell, ``SAMPLE`` at least and
-   ``SAMPLE_BYTES`` at most. A vector belongs to the cell of its nearest centroid,
+   ``SAMPLE_BYTES`` at most; it is drawn in the scan, by a threshold on the hash
+   of ids that gives about so many. A vector belongs to the cell of its nearest centroid,
    and visits each cell whose border (the bisecting plane) is nearer than a
    margin; a pair is found if either vector visits the other's cell. The margin
    is ``MARGIN`` deviations that a step of the largest linked distance makes along
@@ -19,10 +20,11 @@
 
 Defined cases: null ids, null, empty and zero vectors, and such with null or
 non-finite components link with nothing; vectors of other dimensions than the
-sample's most frequent one are compared in one cell of each dimension; repeated
-rows are one vector; of several usable vectors with one id the one with the
-smallest digest counts, and the id has one row; an empty table gives no rows; a cosine of exactly
-``least`` is a link. Other columns are not looked at, whatever their names.
+sample's most frequent one are compared in one cell of each dimension; every row
+is a vector and gives a row, repeated ones are linked with each other, and an id
+with several vectors joins the components of all of them; an empty table gives
+no rows; a cosine of exactly ``least`` is a link. Other columns are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
@@ -136,7 +138,7 @@ def _compare(shared, least: float):
     def run(table: pa.Table) -> pa.Table:
         cells: Cells = shared.value
         cell, i, j = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        side, own, rep, copies = (table.column(c).to_numpy() for c in ("side", "own", "rep", "copies"))
+        side, own, class_, rep, copies = (table.column(c).to_numpy() for c in ("side", "own", "class", "rep", "copies"))
         sizes, flat = _matrix(table.column("embedding").combine_chunks())
         unit = unit_rows(flat.reshape(len(sizes), sizes[0]))
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
@@ -176,7 +178,7 @@ def _compare(shared, least: float):
                 break
             root = low
         some = n > 0
-        return pa.table({"rep": rep[some], "n": n[some], "root": root[some]})
+        return pa.table({"class": class_[some], "rep": rep[some], "n": n[some], "root": root[some]})
 
     return run
 
@@ -201,14 +203,16 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, key: str = "vec_id
     usable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     kind = rows.schema["embedding"].dataType.simpleString()
     named = rows.filter(usable).mapInArrow(_named, f"vec_id long, embedding {kind}, h1 long, h2 long")
-    once = scratch.write(named.groupBy("vec_id").agg(F.min(F.struct("h1", "h2", "embedding")).alias("x")).select("vec_id", "x.*"), "vectors")
-    classes = scratch.write(once.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes")
+    once = scratch.write(named, "vectors")
+    classes = scratch.write(once.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")).withColumn("class", F.monotonically_increasing_id()), "classes")
     total = classes.count()
     widest = classes.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
 
     wished = cells or max(1, round(total**0.5))
     bound = max(1, SAMPLE_BYTES // (8 * widest))
-    sample = classes.select("embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(min(bound, max(SAMPLE, 8 * wished))).select("embedding").toArrow()
+    drawn = min(bound, max(SAMPLE, 8 * wished))
+    mark = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+    sample = classes.filter(mark < round((1 << 30) * min(1.0, drawn / max(total, 1)))).select("embedding", mark.alias("h"), "rep").toArrow().sort_by([("h", "ascending"), ("rep", "ascending")])
     sizes, flat = _matrix(sample.column(0).combine_chunks()) if sample.num_rows else (np.ones(1, np.int64), np.ones(1))
     dims, often = np.unique(sizes, return_counts=True)
     dim = int(dims[often.argmax()])
@@ -240,16 +244,19 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, key: str = "vec_id
                 part = slice(k, k + 20_000)
                 r = row[part]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x) for x in (cell[r], i[part], j[part], side[r], own[r])), *(batch.column(c).take(pa.array(at[r])) for c in ("rep", "copies", "embedding"))],
-                    ["cell", "i", "j", "side", "own", "rep", "copies", "embedding"],
+                    [*(pa.array(x) for x in (cell[r], i[part], j[part], side[r], own[r])), *(batch.column(c).take(pa.array(at[r])) for c in ("class", "rep", "copies", "embedding"))],
+                    ["cell", "i", "j", "side", "own", "class", "rep", "copies", "embedding"],
                 )
 
-    dealt = classes.mapInArrow(deal, f"cell long, i long, j long, side long, own long, rep long, copies long, embedding {kind}")
-    found = scratch.write(dealt.groupBy("cell", "i", "j").applyInArrow(_compare(shared, least), "rep long, n long, root long"), "links")
-    united = components(found.select("rep", "root"), scratch)
-    numbers = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    whole = classes.join(numbers.hint("merge"), "rep", "left").join(united.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
+    dealt = classes.mapInArrow(deal, f"cell long, i long, j long, side long, own long, class long, rep long, copies long, embedding {kind}")
+    found = scratch.write(dealt.groupBy("cell", "i", "j").applyInArrow(_compare(shared, least), "class long, rep long, n long, root long"), "links")
+    # An id with several vectors joins the classes of all of them.
+    several = once.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).filter("low <> high").select("vec_id")
+    shared_ids = once.select("vec_id", "h1", "h2").join(several.hint("merge"), "vec_id", "left_semi").join(classes.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).select(F.col("rep"), F.col("vec_id").alias("root"))
+    united = components(found.select("rep", "root").unionByName(shared_ids.distinct()), scratch)
+    numbers = found.groupBy("class").agg(F.sum("n").alias("n"))
+    whole = classes.join(numbers.hint("merge"), "class", "left").join(united.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
     whole = whole.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     good = once.select("vec_id", "h1", "h2").join(whole.hint("merge"), ["h1", "h2"]).select("vec_id", "n_links", F.col("root").alias("component_id"))
-    alone = rows.filter(~usable).distinct().select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -11,20 +11,23 @@ from tests.llm.test_minhash import roots
 from tests.oracle import same
 
 
-def brute(vectors, least=0.95):
+def brute(rows, least=0.95):
+    """``rows``: pairs of id and vector, or a dictionary of them."""
+    rows = list(rows.items()) if isinstance(rows, dict) else rows
     good = {}
-    for i, v in vectors.items():
+    for k, (i, v) in enumerate(rows):
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             a = np.array(v, np.float64)
-            good[i] = a / np.sqrt(a @ a)
-    n, links = dict.fromkeys(vectors, 0), []
-    for i in good:
+            good[k] = a / np.sqrt(a @ a)
+    n, links = [0] * len(rows), []
+    for k in good:
         for j in good:
-            if i != j and len(good[i]) == len(good[j]) and good[i] @ good[j] >= least:
-                n[i] += 1
-                links.append((i, j))
-    root = roots([i for i in vectors if i is not None], links)
-    return sorted(((i, n[i], root.get(i), i is None or root[i] == i) for i in vectors), key=str)
+            if k != j and len(good[k]) == len(good[j]) and good[k] @ good[j] >= least:
+                n[k] += 1
+                links.append((rows[k][0], rows[j][0]))
+    root = roots([i for i, _ in rows if i is not None], links)
+    own = [root[i] if k in good else i for k, (i, _) in enumerate(rows)]  # what can't be linked is reached by nothing
+    return sorted(((i, n[k], own[k], own[k] == i) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def groups(rng, dim=16):
@@ -48,15 +51,32 @@ def test_links(spark, monkeypatch, cells, block, exact):
     rows = [*vectors.items(), next(iter(vectors.items()))]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rep", "'x' AS n")
     got = sorted(map(tuple, E.near_duplicates(frame, cells=cells, exact=exact).collect()), key=str)
-    assert got == brute(vectors)
+    assert got == brute(rows)
 
 
 def test_extreme_lengths_and_ids(spark):
-    """Lengths whose squares vanish or overflow; an id with two vectors has one row."""
+    """Lengths whose squares vanish or overflow; each row of an id with several vectors has a row."""
     rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (4, [2.0, -1.0]), (4, [4.0, -2.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS h1", "2 AS copies")
     got = sorted(map(tuple, E.near_duplicates(frame).collect()))
-    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)] + [(4, 2, 4, True)] * 3 == brute([(i, [x * 1e-100 for x in v] if v[0] > 1e100 else [x * 1e100 for x in v] if v[0] < 1e-100 else v) for i, v in rows])
+
+
+def test_ids_with_several_vectors(spark):
+    """They join components; nothing is dropped, usable or not."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (2, [-1.0, 0.0]), (3, [-1.0, 0.01]), (3, None), (3, None), (4, [0.01, 1.0]), (5, [0.7, -0.7]), (None, [1.0, 0.0]), (None, [1.0, 0.0]), (5, [0.7, -0.7])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, E.near_duplicates(frame).collect()), key=str)
+    assert got == brute(rows) and {r[2] for r in got if r[0] in (1, 2, 4)} == {1} and [r[2] for r in got if r[0] == 3] == [3, 3, 1]
+
+
+def test_sample_is_drawn_in_the_scan(spark, monkeypatch):
+    """No task gathers the sample, and a bounded one gives the same links."""
+    monkeypatch.setattr(E, "SAMPLE", 40)
+    monkeypatch.setattr(E, "SAMPLE_BYTES", 60 * 8 * 16)
+    vectors = groups(np.random.default_rng(3))
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, E.near_duplicates(frame, exact=True).collect()), key=str) == brute(vectors)
 
 
 @pytest.mark.parametrize("fill", [3, 8, 24])
