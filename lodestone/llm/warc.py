@@ -6,9 +6,12 @@ the page with the smallest id is a response, the others are revisits of it,
 whose blocks hold HTTP headers only. A block longer than ``SEGMENT_BYTES`` is
 cut into a first record and continuation records. Tasks write gzip archives
 with Spark's text writer, whose line separator is the end mark of a record.
+Pages are numbered and written first; which of them are revisits is found from
+digests alone, and told to the writers by broadcast up to ``BROADCAST_BYTES``, so
+that payloads are only shuffled beyond that bound.
 
 Reading. Tasks inflate archives part by part, and walk through them record by
-record; each archive is parsed once. Segments are
+record; each archive is parsed once, into a written table. Segments are
 grouped by the identifier of their first record, ordered by segment number, and
 joined if the numbers have no gap and the total length is right; then chunked
 framing is decoded. Revisits take payload size and digest from the response
@@ -19,9 +22,7 @@ all others; of repeated rows one is the response; a broken group of segments or
 broken framing gives a row with ``error`` and a null payload; an archive cut off
 inside a record raises ``ValueError``; of equal payloads under one id the row that
 Spark numbers first is the response; an empty table gives archives without pages,
-and no rows. Other columns are not looked at, whatever their names. Rows are
-numbered by their place in the input, so that has to be a stored table, which
-Spark reads alike each time.
+and no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 #: Records of a file, each of a segment at most, which bounds its bytes.
 RECORDS_PER_FILE = 4_000
+#: Bytes of the list of revisits that is broadcast to the writers.
+BROADCAST_BYTES = 32 << 20
 #: Bytes that a reader inflates at a time.
 PART_BYTES = 1 << 20
 _END = b"\r\n\r\n"
@@ -126,10 +129,15 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     """Writes one record per page to gzip archives in ``folder``."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     numbered = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    scratch = Scratch(pages.sparkSession, "warc-write")
+    numbered = scratch.write(numbered, "numbered")
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    equal = numbered.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    equal = equal.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"))
-    records = numbered.join(equal.hint("merge"), "digest", "left").mapInArrow(_writer(segment_bytes), "record binary")
+    long_ = numbered.filter(F.octet_length("payload") >= REVISIT_BYTES).select("digest", "page_id", "row")
+    equal = long_.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = long_.join(equal.hint("merge"), "digest").select("row", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")).filter("row <> first_row")
+    again = scratch.write(again, "revisits")
+    join = "broadcast" if again.count() * 32 <= BROADCAST_BYTES else "merge"
+    records = numbered.join(again.hint(join), "row", "left").mapInArrow(_writer(segment_bytes), "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
@@ -233,6 +241,7 @@ def _decoder(batches):
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """A row per page record: ids, type, digest as stated, decoded payload (empty for revisits), error."""
     records = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content").mapInArrow(_reader, _SCHEMA)
+    records = Scratch(spark, "warc-read").write(records, "records")
     whole = records.filter("segment IS NULL").drop("origin", "segment", "total").withColumn("error", F.lit(None).cast("string"))
     part = F.struct("segment", "total", "block", "record_id", "page_id", "url", "record_type", "refers_to_id", "refers_to", "digest")
     groups = records.filter("segment IS NOT NULL").groupBy("origin").agg(F.array_sort(F.collect_list(part)).alias("p"))

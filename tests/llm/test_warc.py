@@ -94,3 +94,26 @@ def test_archives_are_inflated_part_by_part(monkeypatch, part):
         with pytest.raises(ValueError):
             list(warc.records_in(broken))
     assert list(warc.records_in(b"")) == []
+
+
+def test_archives_are_parsed_once(spark, tmp_path):
+    """Whole and segmented records come from one written table."""
+    warc.write(spark.createDataFrame(cases(), PAGES), f"file://{tmp_path}/a", segment_bytes=200)
+    plan = warc.read(spark, f"file://{tmp_path}/a")._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "content#" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_revisits_beyond_the_broadcast(spark, tmp_path, monkeypatch):
+    """The list of revisits is shuffled where it is too long, with equal archives."""
+    rows = {}
+    for bound in (warc.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", bound)
+        warc.write(spark.createDataFrame(cases(), PAGES).coalesce(1), f"file://{tmp_path}/{bound}")
+        rows[bound] = sorted(map(repr, warc.pages(spark, f"file://{tmp_path}/{bound}").collect()))
+    assert len({tuple(r) for r in rows.values()}) == 1
+
+
+def test_clashing_names(spark, tmp_path):
+    frame = spark.createDataFrame(cases(), PAGES).selectExpr("*", "'x' AS payload", "'y' AS first_page", "1 AS first_row", "map('a', 1) AS record", "2 AS total")
+    warc.write(frame, f"file://{tmp_path}/a")
+    assert warc.pages(spark, f"file://{tmp_path}/a").count() == len(cases())
