@@ -52,7 +52,8 @@ CROWD = 512
 SORTED = 100_000
 #: How often parts are halved before crowded groups are looked for again.
 _HALVINGS = 3
-_PLACE = np.uint64((1 << 28) - 1)
+#: Places in a slice, which holds at most one text longer than itself, and no text has 2 GB.
+_PLACE = np.uint64((1 << 32) - 1)
 _RUN = "anchor long, t long, u long, first long, n long, d long, h1 long, h2 long, times long"
 _PART = "anchor long, t long, u long, first long, n long, d long, h1 long, h2 long, piece binary"
 _RANGES = "array<struct<lo: long, hi: long>>"
