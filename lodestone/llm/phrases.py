@@ -1,13 +1,13 @@
 """Phrase collocations by stripes: each prefix keys an associative counter of its next words.
 
-The stripe of a prefix holds how often the prefix occurs and, for each word that
-follows it, how often that does. A task cuts the stripes of a slice of texts, and
-equal prefixes' stripes are merged element by element after one shuffle. Level k
-has the prefixes of k words: the empty prefix of each language keys its
-vocabulary, words key pairs, pairs key triples. A merged stripe gives all that
-the scores need: its counters are the counts of phrases that are one word
-longer, its total is the count of the prefix, and its greatest counter is what
-may subsume the prefix.
+The stripe of a prefix holds, for each word that follows it, how often that does.
+A task cuts the stripes of a slice of texts, and equal prefixes' stripes are
+merged element by element after one shuffle. Level k has the prefixes of k words:
+the empty prefix of each language keys its vocabulary, words key pairs, pairs key
+triples. The merged stripes give all that the scores need: the counters are the
+counts of phrases that are one word longer, the count of a prefix is its own
+counter one level up (all words, for the empty one), and the greatest counter of
+a stripe is what may subsume its prefix.
 
 Only phrases that occur ``least`` times can be a candidate or a part of one, so
 a level looks at prefixes and next words that the level before found frequent. A
@@ -43,7 +43,7 @@ LONGEST, LEAST, PERCENT, TOP = 3, 10, 50, 2000
 #: A prefix has one part more for each such share of all words that it takes; the vocabulary of a language has so many.
 PARTS = 512
 #: Bytes of text whose stripes are cut together, and of stripes that are merged together.
-SLICE, CHUNK = 4 << 20, 16 << 20
+SLICE, CHUNK = 4 << 20, 4 << 20
 #: Bits of the bitmap over frequent phrases (as a power of two).
 BITS = 26
 #: Places that a language's candidates are dealt to for its first ranking.
@@ -54,7 +54,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _ENDS_PIECE = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _LOWER = np.array([0 if _ENDS_PIECE[b] or b in b" \t" else (b + 32 if 65 <= b <= 90 else b) + 1 for b in range(256)], np.uint16)
 
-STRIPE = "lang string, prefix string, part int, state long, total long, next binary, counts binary"
+STRIPE = "lang string, prefix string, part int, total long, next binary, counts binary"
 MERGED = "lang string, prefix string, total long, top long, next array<string>, n array<long>, states array<long>"
 
 
@@ -104,6 +104,7 @@ def _stripes(k: int, frequent, hot):
             for j in range(k):
                 _, own = np.unique(own * size + code[at + j], return_inverse=True)
             _, place, own, total = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+            total = np.zeros_like(total) if k else total  # of other prefixes the level above has the count
             # A prefix is extended where the phrase from its second to the next word is a prefix itself.
             if k:
                 extended = np.zeros(len(code) + 1, bool)
@@ -124,22 +125,26 @@ def _stripes(k: int, frequent, hot):
             row_of = head[prefix_of] + (name[next_of] % parts[prefix_of].astype(np.uint64)).astype(np.int64)
             order = np.argsort(row_of, kind="stable")
             n_rows = int(parts.sum())
-            ends = np.cumsum(np.bincount(row_of, minlength=n_rows))
+            entries = np.bincount(row_of, minlength=n_rows)
+            ends = np.cumsum(entries)
             spaced = pc.binary_join_element_wise(distinct, b"", b" ").take(pa.array(next_of[order]))
             bytes_, at_byte = raw(spaced)
             owner = np.repeat(np.arange(len(place)), parts)
+            part = np.arange(n_rows) - head[owner]
+            if k:  # prefixes that nothing extends tell nothing
+                some = np.flatnonzero(entries)
+                owner, part, ends = owner[some], part[some], ends[some]
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
                     lang_of.take(take),
                     prefix.take(take),
-                    pa.array(np.arange(n_rows) - head[owner], pa.int32()),
-                    pa.array(state[place][owner].view(np.int64)),
+                    pa.array(part, pa.int32()),
                     pa.array(total[owner], pa.int64()),
                     binary(at_byte[ends], bytes_),
                     binary(8 * ends, count[order].astype("<i8").view(np.uint8)),
                 ],
-                ["lang", "prefix", "part", "state", "total", "next", "counts"],
+                ["lang", "prefix", "part", "total", "next", "counts"],
             )
 
     return run
@@ -153,7 +158,18 @@ def _prefixes(words: pa.Array, codes: list[np.ndarray], n: int) -> pa.Array:
     return (columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, b" ")).cast(pa.string())
 
 
-def _merge_rows(rows: pa.Table, least: int, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+def _states(lang: pa.Array, prefix: pa.Array, k: int) -> np.ndarray:
+    """The hashes of prefixes of ``k`` words."""
+    langs = lang.dictionary_encode()
+    state = _names(langs.dictionary)[langs.indices.to_numpy()]
+    words = pc.list_flatten(pc.split_pattern(prefix, " ")).dictionary_encode()
+    name = _names(words.dictionary)[words.indices.to_numpy()]
+    for j in range(k):
+        state = _after(state, name[j::k])
+    return state
+
+
+def _merge_rows(rows: pa.Table, k: int, least: int, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
     """Adds up the stripes of sorted rows: the merged stripes with a frequent next word, and the last stripe, which may go on (unless ``last``)."""
     rows = rows.combine_chunks()
     column = {c: rows.column(c).combine_chunks() for c in rows.column_names}
@@ -193,25 +209,28 @@ def _merge_rows(rows: pa.Table, least: int, last: bool) -> tuple[pa.RecordBatch,
     owner, code, sums = owner[keep], code[keep], sums[keep]
     stripes, begin = np.unique(owner, return_index=True)
     lists = pa.array(np.append(begin, len(owner)).astype(np.int32))
-    state = column["state"].to_numpy().view(np.uint64)[heads]
     place = pa.array(heads[stripes])
+    lang, prefix = column["lang"].take(place), column["prefix"].take(place)
+    state = np.repeat(_states(lang, prefix, k), np.diff(np.append(begin, len(owner))))
+    used, at_used = np.unique(code, return_inverse=True)
+    used = pa.array(used)
     whole = distinct.take(pa.array(code)).cast(pa.string())
     merged = pa.RecordBatch.from_arrays(
         [
-            column["lang"].take(place),
-            column["prefix"].take(place),
+            lang,
+            prefix,
             pa.array(total[stripes], pa.int64()),
             pa.array(np.maximum.reduceat(sums, begin) if len(begin) else sums, pa.int64()),
             pa.ListArray.from_arrays(lists, whole),
             pa.ListArray.from_arrays(lists, pa.array(sums, pa.int64())),
-            pa.ListArray.from_arrays(lists, pa.array(_after(state[owner], _names(distinct)[code]).view(np.int64))),
+            pa.ListArray.from_arrays(lists, pa.array(_after(state, _names(distinct.take(used))[at_used]).view(np.int64))),
         ],
         ["lang", "prefix", "total", "top", "next", "n", "states"],
     )
     return merged, rest
 
 
-def _merge(least: int):
+def _merge(k: int, least: int):
     def run(batches):
         held, size, bound = [], 0, CHUNK
         for batch in batches:
@@ -219,12 +238,12 @@ def _merge(least: int):
                 held.append(pa.Table.from_batches([batch]))
                 size += batch.nbytes
             if size > bound:
-                merged, rest = _merge_rows(pa.concat_tables(held), least, False)
+                merged, rest = _merge_rows(pa.concat_tables(held), k, least, False)
                 yield merged
                 held, size = [rest], rest.nbytes
                 bound = max(CHUNK, 2 * size)  # a growing stripe is merged anew only when it has doubled
         if held:
-            yield _merge_rows(pa.concat_tables(held), least, True)[0]
+            yield _merge_rows(pa.concat_tables(held), k, least, True)[0]
 
     return run
 
@@ -240,20 +259,20 @@ def _bitmap(merged: DataFrame) -> np.ndarray:
 
 
 def _phrases(merged: DataFrame, k: int) -> DataFrame:
-    """The frequent phrases of ``k + 1`` words, with their counts ``a`` and those of their prefixes."""
-    rows = merged.select("lang", "prefix", "total", F.inline(F.arrays_zip(F.col("next").alias("next"), F.col("n").alias("a"))))
+    """The frequent phrases of ``k + 1`` words, with their counts ``a``."""
+    rows = merged.select("lang", "prefix", F.inline(F.arrays_zip(F.col("next").alias("next"), F.col("n").alias("a"))))
     phrase = F.concat_ws(" ", "prefix", "next") if k else F.col("next")
-    return rows.select("lang", phrase.alias("phrase"), F.lit(k + 1).alias("words"), "a", "total")
+    return rows.select("lang", phrase.alias("phrase"), F.lit(k + 1).alias("words"), "a")
 
 
 def stripes(docs: DataFrame, scratch: Scratch, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang") -> list[DataFrame]:
-    """The merged stripes of the prefixes of 0 to ``longest - 1`` words, as written tables: ``lang, prefix, total, top, next, n, states``."""
+    """The merged stripes of the prefixes of 0 to ``longest - 1`` words, as written tables: ``lang, prefix, total, top, next, n, states``. The total is that of all words, on level 0 alone."""
     context = docs.sparkSession.sparkContext
     narrow = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"))
     out, frequent, hot, words = [], None, None, 0
     for k in range(longest):
         cut_ = narrow.mapInArrow(_stripes(k, frequent, hot), STRIPE)
-        merged = scratch.write(cut_.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part").mapInArrow(_merge(least), MERGED), f"stripes-{k}")
+        merged = scratch.write(cut_.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part").mapInArrow(_merge(k, least), MERGED), f"stripes-{k}")
         out.append(merged)
         if k == 0:
             words = merged.groupBy("lang").agg(F.max("total").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -284,12 +303,9 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, percent: i
     candidates = every.filter("words > 1").withColumn("w", F.split("phrase", " "))
     count = lambda part, name: every.select("lang", F.col("phrase").alias(part), F.col("a").alias(name)).hint("merge")
     between = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    # The cut before the last word has the stripe's total on its left; other left parts are phrases themselves.
-    last = candidates.select("lang", "phrase", "a", (F.col("words") - 1).alias("k"), F.col("total").alias("l"), between(F.col("words"), F.lit(1)).alias("rest"))
-    early = candidates.filter("words > 2").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 2)))
-    early = early.select("lang", "phrase", "a", "k", between(F.lit(1), F.col("k")).alias("first"), between(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
-    early = early.join(count("first", "l"), ["lang", "first"]).drop("first")
-    cuts = last.unionByName(early).join(count("rest", "r"), ["lang", "rest"])
+    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
+    cuts = cuts.select("lang", "phrase", "a", "k", between(F.lit(1), F.col("k")).alias("first"), between(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
+    cuts = cuts.join(count("first", "l"), ["lang", "first"]).join(count("rest", "r"), ["lang", "rest"])
     best = cuts.withColumn("score", score()).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     by_left = candidates.groupBy("lang", between(F.lit(2), F.col("words") - 1).alias("phrase")).agg(F.max("a").alias("longer"))
     for merged in levels[2:]:

@@ -65,13 +65,13 @@ def test_chunks_and_parts(spark):
     frame = spark.createDataFrame([(t, lang) for lang, t in docs], "text string, lang string")
     rows = frame.coalesce(1).mapInArrow(P._stripes(0, None, None), P.STRIPE).toArrow().sort_by([("prefix", "ascending"), ("part", "ascending")])
     double = P.pa.concat_tables([rows, rows, rows]).sort_by([("prefix", "ascending"), ("part", "ascending")])
-    whole = P._merge_rows(double, 1, True)[0].to_pylist()
+    whole = P._merge_rows(double, 0, 1, True)[0].to_pylist()
     for step in (1, 2, 7, 500):
         held, out = [], []
         for k in range(0, double.num_rows, step):
-            merged, rest = P._merge_rows(P.pa.concat_tables([*held, double.slice(k, step)]), 1, False)
+            merged, rest = P._merge_rows(P.pa.concat_tables([*held, double.slice(k, step)]), 0, 1, False)
             out, held = out + merged.to_pylist(), [rest]
-        out += P._merge_rows(held[0], 1, True)[0].to_pylist()
+        out += P._merge_rows(held[0], 0, 1, True)[0].to_pylist()
         assert out == whole
     assert sum(sum(r["n"]) for r in whole) == 3 * sum(len(re.findall(r"[^ \t.,;:!?\n\r]+", t)) for _, t in docs)
 
