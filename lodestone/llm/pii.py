@@ -6,8 +6,8 @@ their reserved ranges, IPv4 addresses by their octets, dates by the calendar
 (1800 to 2199), e-mail addresses by their form, and telephone numbers by theirs
 (of ten digits that are all the same none is a number; area codes aren't looked
 up, since mistyped and invented numbers are as personal as others, and
-pseudonyms may have area codes that don't exist). Letters, digits and
-underscores around a number or date make it part of a longer name, which stays.
+pseudonyms may have area codes that don't exist). Letters of any script, digits
+and underscores around a number or date make it part of a longer name, which stays.
 What fails validation stays as it is. A valid value is permuted by a keyed Feistel
 network within its format: a card stays a card of the same length and first
 digit with a right check digit, a date stays a date in the same notation, and so
@@ -21,8 +21,9 @@ pad a day or month).
 A row is handled by itself: nothing is shuffled. Defined cases: a null text
 stays null with no counts; an empty text stays empty; an empty table gives no
 rows; repeated rows get equal results; where several kinds fit at one place, the
-first of ``PATTERNS`` is taken; columns stay whatever their names; month-first is read from ``m/d/yyyy``, day-first where only that is a
-date or where dots or hyphens separate.
+first of ``PATTERNS`` is taken; other columns stay whatever their names, but for
+one named ``pii_counts``; month-first is read from ``m/d/yyyy``, day-first where
+only that is a date or where dots or hyphens separate.
 """
 
 from __future__ import annotations
@@ -34,16 +35,17 @@ ROUNDS = 8
 _DAY0, _A, _B = "1800-01-01", 189, 773  # 400 years have 189 * 773 days
 _MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_AHEAD, _BEHIND = "(?![0-9A-Za-z_])", "(?<![0-9A-Za-z_])"
+_NAME = r"\p{L}\p{M}\p{N}_"  # letters, of any script, their marks, digits and underscores
+_AHEAD, _BEHIND = f"(?![{_NAME}])", f"(?<![{_NAME}])"
 # In the order of preference at one place. Runs are bounded or possessive, so that no text takes more than linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "ip": rf"(?<![0-9A-Za-z_.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z_]|\.[0-9])",
-    "date": rf"{_BEHIND}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![0-9A-SU-Za-z_-])|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}(?![0-9A-Za-z_/])|[0-9]{{1,2}}([./-])[0-9]{{1,2}}\1[0-9]{{4}}(?![0-9A-Za-z_])|[0-9]{{1,2}} {_MONTHS} [0-9]{{4}}{_AHEAD}|{_MONTHS} [0-9]{{1,2}}, [0-9]{{4}}{_AHEAD})",
+    "ip": rf"(?<![{_NAME}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![{_NAME}]|\.[0-9])",
+    "date": rf"{_BEHIND}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![{_NAME}&&[^T]]|-)|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}(?![{_NAME}/])|[0-9]{{1,2}}([./-])[0-9]{{1,2}}\1[0-9]{{4}}{_AHEAD}|[0-9]{{1,2}} {_MONTHS} [0-9]{{4}}{_AHEAD}|{_MONTHS} [0-9]{{1,2}}, [0-9]{{4}}{_AHEAD})",
     "iban": rf"{_BEHIND}[A-Z]{{2}}[0-9]{{2}}(?:(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,4}})?|[A-Z0-9]{{11,30}}){_AHEAD}",
-    "ssn": rf"(?<![0-9A-Za-z_-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z_-])",
-    "card": rf"(?<![0-9A-Za-z_.])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z_])",
-    "phone": rf"(?<![0-9A-Za-z_+])(?:\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}([.-])[0-9]{{3}}\2[0-9]{{4}}|\+[2-9](?:[ .-]?[0-9]){{7,13}})(?![0-9A-Za-z_])",
+    "ssn": rf"(?<![{_NAME}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![{_NAME}-])",
+    "card": rf"(?<![{_NAME}.])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_AHEAD}",
+    "phone": rf"(?<![{_NAME}+])(?:\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}([.-])[0-9]{{3}}\2[0-9]{{4}}|\+[2-9](?:[ .-]?[0-9]){{7,13}}){_AHEAD}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
@@ -117,6 +119,11 @@ def _dressed(t: Column, bare: Column) -> Column:
     return _let(bare, lambda new: F.array_join(F.transform(F.split(t, ""), lambda c, i: F.when(c.rlike("^[0-9A-Za-z]$"), F.substr(new, F.length(_bare(F.substr(t, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), ""))
 
 
+def _capitals(t: Column, new: Column) -> Column:
+    """The text ``new`` with capitals in the places where ``t`` has them."""
+    return _let(new, lambda x: F.array_join(F.transform(F.split(t, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substr(x, i + 1, F.lit(1)))).otherwise(F.substr(x, i + 1, F.lit(1)))), ""))
+
+
 def _mod97(bare: Column) -> Column:
     """The remainder that a valid IBAN has 1 of."""
     turned = F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))
@@ -148,7 +155,9 @@ def pseudonym(t: Column, key: str, reverse: bool = False) -> Column:
     permuted = lambda x, tag: permute_text(x, key, tag, reverse)
     out = lambda kind, value: F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
 
-    email = F.concat(permuted(F.substring_index(t, "@", 1), "email"), F.lit("@"), F.substring_index(t, "@", -1))
+    # Capitals mean nothing in a mail name: they are put back where they stood.
+    name = F.substring_index(t, "@", 1)
+    email = F.concat(_capitals(name, permuted(F.lower(name), "email")), F.lit("@"), F.substring_index(t, "@", -1))
     octet = lambda k: F.get(F.split(t, r"\."), F.lit(k)).cast("long")
     address = permute_number(((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3), 1 << 16, 1 << 16, key, "ip", reverse)
     ip = _let(address, lambda v: F.concat_ws(".", *[(F.shiftright(v, s) % 256).cast("string") for s in (24, 16, 8, 0)]))
