@@ -10,7 +10,8 @@ short lines from false links alone.
    length class, number and content. For each length from n - EDITS to n a line
    probes the index with those of its substrings that a segment can have moved
    to. Two lines within the distance always meet in one bucket.
-2. Buckets are shuffled by their hash, sorted, and read as a stream, which lets
+2. A task sends a line's buckets once, however often it meets the line, so a line
+   in all texts is about a row for each task. Buckets are shuffled by their hash, sorted, and read as a stream, which lets
    only those pass that hold two different lines and an indexed one.
 3. Pairs of small buckets are joined, crowded buckets are compared block
    against block; both are verified by banded bit-parallel edit distance. A
@@ -57,6 +58,8 @@ HUBS = 8
 BROADCAST_BYTES = 32 << 20
 #: Rows of a bucket that wait for the rest of it at most; a larger one passes whole.
 HELD_ROWS = 100_000
+#: Names of lines that a task remembers to have sent, before it starts afresh.
+SEEN = 500_000
 _LINES_PER_BATCH = 20_000
 
 
@@ -182,13 +185,23 @@ def _batches(columns: list[np.ndarray], names: list[str], size: int = 200_000):
 
 
 def _keyed(text: str, edits: int, least: int):
+    """Buckets of each line; of a line that many texts hold, about once for each task."""
+
     def run(batches):
         worker.drop()
+        seen = np.zeros(0, np.int64)  # the names of lines that this task has sent, sorted
         for rows, _, _ in slices(batches, text):
             lines = Lines(rows.column(text).to_pylist(), least)
             if lines.text:
                 ids = lines.names()[:, 0]
-                line, bucket, indexed = bucket_keys(lines, np.unique(ids, return_index=True)[1], edits, least)
+                own, pick = np.unique(ids, return_index=True)
+                if len(seen):
+                    new = seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
+                    own, pick = own[new], pick[new]
+                if not len(pick):
+                    continue
+                seen = own if len(seen) > SEEN else np.sort(np.concatenate([seen, own]))
+                line, bucket, indexed = bucket_keys(lines, pick, edits, least)
                 yield from _batches([bucket, ids[line], indexed], ["bucket", "id", "indexed"])
 
     return run

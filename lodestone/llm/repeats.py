@@ -9,7 +9,8 @@ else, in the same text or another, is removed. Strings never cross texts.
    run's bytes are its piece.
 2. Runs are shuffled by anchor and read as a sorted stream; runs under an anchor
    that occurs once are done. Of equal pieces, by a 128-bit cryptographic digest,
-   one goes on: all windows of the others are repeated.
+   one goes on: all windows of the others are repeated. A task sends a piece twice
+   at most, so one that is in all texts isn't a row for each of them.
 3. The different pieces of an anchor are suffix-sorted together, many anchors at
    a time: windows smaller than the next window are sorted directly, the others
    are induced from their successors by one scan over the buckets of first
@@ -50,6 +51,8 @@ GRAM = 64
 CROWD = 512
 #: Windows sorted together.
 SORTED = 100_000
+#: Pieces that a task remembers to have sent, before it starts afresh.
+SEEN = 200_000
 #: How often parts are halved before crowded groups are looked for again.
 _HALVINGS = 3
 #: Places in a slice, which holds at most one text longer than itself, and no text has 2 GB.
@@ -82,6 +85,7 @@ def names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _runs(text: str, length: int, gram: int):
     def run(batches):
         worker.drop()
+        once, twice = set(), set()  # pieces that this task has sent
         for _, data, offsets in slices(batches, text):
             if len(data) < length:
                 continue
@@ -105,6 +109,18 @@ def _runs(text: str, length: int, gram: int):
             new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
             times = np.zeros(len(order), np.int64)
             times[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
+            # So are those that this task has sent twice: a piece in all texts is two rows for each task under its anchor.
+            for k in np.flatnonzero(times).tolist():
+                name = h1[k], h2[k]
+                if name in twice:
+                    times[k] = 0
+                elif name in once or times[k] > 1:
+                    twice.add(name)
+                else:
+                    once.add(name)
+            if len(once) + len(twice) > SEEN:
+                once.clear()
+                twice.clear()
             anchor = np.where(times > 0, anchor, mix(t.astype(np.uint64) + place.astype(np.uint64)))
             columns = [anchor.view(np.int64), t, u, place, last - first + 1, at[head] - first, h1, h2, times]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [x.split()[0] for x in _RUN.split(", ")])
