@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.patterns import first_class
+from lodestone.functions.patterns import first_class, spare
 
 # What a hand-over leaves out, in order; the first match decides.
 # Main database files match none of them and are kept.
@@ -26,9 +26,10 @@ def size_census(items: DataFrame, group: str, key: str, size: Column) -> DataFra
     Partial sums and one struct per group and task are shuffled. A null size
     counts as 0.
     """
-    sized = items.select(F.col(group), F.col(key).alias("_key"), F.coalesce(size.cast("long"), F.lit(0)).alias("_size"))
+    id_, bytes_ = spare("_key", [group]), spare("_size", [group])
+    sized = items.select(F.col(group), F.col(key).alias(id_), F.coalesce(size.cast("long"), F.lit(0)).alias(bytes_))
     return sized.groupBy(group).agg(
-        F.sum("_size").alias("bytes"), F.max("_size").alias("max_bytes"), F.max_by("_key", F.struct("_size", -F.col("_key"))).alias("largest_id")
+        F.sum(bytes_).alias("bytes"), F.max(bytes_).alias("max_bytes"), F.max_by(id_, F.struct(bytes_, -F.col(id_))).alias("largest_id")
     )
 
 

@@ -33,11 +33,14 @@ def resolve(pointers: DataFrame, bodies: DataFrame, key: str, text: str, body: s
     body, the join is split by adaptive execution.
     """
     take = lambda pattern: F.nullif(F.regexp_extract(F.col(text), pattern, 1), F.lit(""))
+    if key in ("status", "oid", "size", "copies", "bytes"):
+        raise ValueError(f"the key is named as a result: {key}")
+    mark = P.spare("_pointer", [key])
     is_pointer = F.coalesce(F.col(text).rlike(P.STUB), F.lit(False))
-    read = pointers.select(F.col(key).alias(key), is_pointer.alias("_p"), F.when(is_pointer, take(OID)).alias("oid"), F.when(is_pointer, take(SIZE)).cast("long").alias("size"))
+    read = pointers.select(F.col(key).alias(key), is_pointer.alias(mark), F.when(is_pointer, take(OID)).alias("oid"), F.when(is_pointer, take(SIZE)).cast("long").alias("size"))
     joined = read.join(digests(bodies, body).hint("merge"), "oid", "left")
     status = (
-        F.when(~F.col("_p"), "no_pointer")
+        F.when(~F.col(mark), "no_pointer")
         .when(F.col("oid").isNull() | F.col("size").isNull(), "malformed")
         .when(F.col("bytes").isNull(), "missing")
         .when(F.col("bytes") == F.col("size"), "resolved")

@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions import patterns as P
 from lodestone.operators import lineage, listing, text
@@ -162,3 +163,9 @@ def test_shipped_rules_over_a_listing(spark, tmp_path):
     files = tables.listing(spark, str(tmp_path))
     assert {r["class"]: r.n for r in listing.path_class(files).collect()} == {"kept": 2, "node_modules": 1, "credential": 1, "db_sidecar": 1, "build_output": 1}
     assert listing.tracked_but_excluded(files).count() == 4
+
+
+def test_size_census_of_groups_with_clashing_names(spark):
+    frame = spark.createDataFrame([("a", 1, "xy"), ("a", 2, "xyz"), ("b", 3, None)], "_key string, _size long, t string")
+    got = {tuple(r) for r in listing.size_census(frame, "_key", "_size", F.octet_length("t")).collect()}
+    assert got == {("a", 5, 3, 2), ("b", 0, 0, 3)}
