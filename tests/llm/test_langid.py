@@ -1,8 +1,10 @@
 """Forward-backward against enumeration, and accuracy on documents kept from training."""
 
 import itertools
+import zlib
 
 import numpy as np
+import regex
 
 from lodestone.llm import langid as L
 from lodestone.llm import registry
@@ -35,6 +37,60 @@ def test_forward_backward_is_exact():
     assert np.allclose(p, want) and np.allclose(expected, pairs) and np.isclose(total, normaliser)
 
 
+def one_by_one(m, text):
+    """A text's language and score with plain sums over its words' features and a forward-backward of its own, in logarithms."""
+    words = regex.findall(r"\p{L}[\p{L}\p{M}'’]*", (text or "").lower())
+    if not words:
+        return L.UND, 0.0
+    whole = (1 << 64) - 1
+
+    def place(tag, part):
+        code = tag
+        for c in part:
+            code = (code * 0x9E3779B97F4A7C15 + ord(c)) & whole
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            code = ((code ^ code >> shift) * factor) & whole
+        return (code ^ code >> 31) % L.TABLE
+
+    def emit(w):
+        framed = f"^{w}$"
+        at = [place(k, framed[i : i + k]) for k in (2, 3) for i in range(len(framed) - k + 1)]
+        at += [place(10 + k, w[:k]) for k in (1, 2, 3) if len(w) >= k] + [place(20 + k, w[-k:]) for k in (1, 2, 3) if len(w) >= k]
+        at += [zlib.crc32(w.encode()) % L.TABLE] if w in m.lexicon else []
+        return m.weights[at].sum(0)
+
+    e = np.array([emit(w) for w in words])
+    add = lambda x, axis: np.logaddexp.reduce(x, axis)
+    ahead, back = [m.start + e[0]], [np.zeros(len(m.labels))]
+    for row in e[1:]:
+        ahead.append(add(ahead[-1][:, None] + m.moves, 0) + row)
+    for row in e[:0:-1]:
+        back.append(add(m.moves + (row + back[-1])[None, :], 1))
+    logs = np.array(ahead) + np.array(back[::-1])
+    mean = np.exp(logs - add(logs, 1)[:, None]).mean(0)
+    return m.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_predictions_against_one_by_one(spark):
+    """The whole prediction, batched and cached, against each document by itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "12 ?!", "en"), (-3, "ǅ İstanbul l’été", None), (-4, "a", None), (-5, "the le der " * 500, None)], docs.schema)
+    m = L.fit(docs, steps=8)
+    both = docs.unionByName(odd).repartition(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(both, m).collect()}
+    rows = both.collect()
+    assert len(got) == len(rows) and len({n for n, _ in got.values()}) == 5
+    for r in rows:
+        name, score = one_by_one(m, r.text)
+        assert got[r.doc_id][0] == name and abs(got[r.doc_id][1] - score) < 1e-4, r.doc_id
+
+
+def test_ties_go_to_the_label_that_sorts_first():
+    m = model()
+    m = m._replace(weights=0 * m.weights, moves=0 * m.moves)
+    assert L.Tagger(m).predict(["whatever it says"]) == (["en"], [0.5])
+
+
 def test_edge_texts_and_long_text():
     tagger = L.Tagger(model())
     names, scores = tagger.predict([None, "", "12 ?!", "the dog", "Le CHIEN", "the cat " * 30_000, "ç", "中文"])
