@@ -264,3 +264,20 @@ def test_rounds_grow_as_the_logarithm(spark, monkeypatch):
         rounds.clear()
         provenance.origins(spark.createDataFrame([(k, k - 1 if k else None) for k in range(n)], "id long, source long"), "id", "source")
         assert rounds.count("round") <= 2 + n.bit_length()
+
+
+# Scratch tables
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    """Without one, only an all-local session gets a folder of its own."""
+    from types import SimpleNamespace as N
+
+    from lodestone.sources.scratch import folder
+
+    settings = {}
+    session = lambda master, given=None: N(sparkContext=N(master=master, getConf=lambda: N(get=lambda k: given)), conf=N(get=lambda k, d=None: settings.get(k, d), set=settings.__setitem__))
+    assert folder(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="checkpoint"):
+        folder(session("spark://host:7077"))
+    assert folder(session("local[2]")).startswith("file:///") and settings["spark.checkpoint.dir"]
