@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.literals import required
 from lodestone.operators.ignore import BROADCAST_BYTES
+from lodestone.sources.scratch import Scratch
 
 #: Characters of a key, at least and at most.
 SHORTEST, LONGEST = 3, 8
@@ -42,7 +43,7 @@ def classify(items: DataFrame, rules: DataFrame, path: str = "path", other: str
     substrings beyond it; rules without a key are always broadcast in that case
     if they fit, as every path needs them.
     """
-    index = keyed(rules)
+    index = Scratch(items.sparkSession, "rule-index").write(keyed(rules), "keyed")
     size, lengths = index.agg(F.coalesce(F.sum(F.octet_length("pattern") + F.octet_length("literal") + 64), F.lit(0)), F.sort_array(F.collect_set(F.length("key")))).first()
     join = "broadcast" if size <= BROADCAST_BYTES else "merge"
     paths = items.groupBy(F.col(path).alias("path")).agg(F.count("*").alias("n"))

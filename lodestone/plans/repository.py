@@ -61,7 +61,7 @@ def large_rule_set(spark: SparkSession, root: str) -> DataFrame:
     """Pages by a rule for each order: the page with the order's number has its priority as class."""
     pattern = F.concat(F.lit("/(?:en|fr|de)/"), F.col("o_orderkey").cast("string"), F.lit(r"(?:\.html)?(?:[/?#]|$)"))
     rules = table(spark, root, "orders").select(F.col("o_orderkey").alias("priority"), F.col("o_orderpriority").alias("class"), pattern.alias("pattern"))
-    return rule_index.classify(table(spark, root, "pages"), Scratch(spark, "rules").write(rules), "url")
+    return rule_index.classify(table(spark, root, "pages"), rules, "url")
 
 
 def pointer_status(spark: SparkSession, root: str) -> DataFrame:
