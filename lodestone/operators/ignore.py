@@ -77,10 +77,12 @@ def _matches(items: DataFrame, rules: DataFrame, path: str, itself: bool) -> Dat
     paths = items.select(F.col(path).alias("path")).distinct().select("path", _components(F.col("path")).alias("c"), F.col("path").endswith("/").alias("folder"))
     paths = paths.withColumn("levels", F.size("c")).filter("levels > 0")
     levels = paths.withColumn("level", F.col("levels") if itself else F.explode(F.sequence(F.lit(1), "levels")))
+    probes = levels.withColumn("depth", F.explode(F.expr("sequence(0, level - 1)"))).withColumn("directory", F.array_join(F.slice("c", F.lit(1), F.col("depth")), "/"))
+    if join == "broadcast":  # most directories have no rules
+        probes = probes.join(F.broadcast(rules.select("directory").distinct()), "directory", "left_semi")
     name = F.element_at("c", F.col("level"))
     keys = F.array_compact(F.array(F.concat(F.lit("n:"), name), F.when(name.contains("."), F.concat(F.lit("e:"), F.substring_index(name, ".", -1))), F.lit("*")))
-    subjects = levels.select("path", "c", "level", "levels", (F.col("folder") | (F.col("level") < F.col("levels"))).alias("is_directory"), F.explode(keys).alias("key"))
-    probes = subjects.withColumn("depth", F.explode(F.expr("sequence(0, level - 1)"))).withColumn("directory", F.array_join(F.slice("c", F.lit(1), F.col("depth")), "/"))
+    probes = probes.select("path", "c", "level", "levels", "depth", "directory", (F.col("folder") | (F.col("level") < F.col("levels"))).alias("is_directory"), F.explode(keys).alias("key"))
     met = probes.join(rules.hint(join), ["directory", "key"]).filter("is_directory OR NOT directories")
     below = F.array_join(F.slice("c", F.col("depth") + 1, F.col("level") - F.col("depth")), "/")
     return met.filter(F.when(F.col("sure"), F.lit(True)).otherwise(F.regexp_like(below, F.col("regex")))).select("path", "level", "levels", "depth", *[c.split()[0] for c in RULES.split(", ")])
