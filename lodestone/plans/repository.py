@@ -88,9 +88,9 @@ def origin_of_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def body_scan(spark: SparkSession, root: str) -> DataFrame:
-    """All documents as lines of a few large files, which are scanned by ranges."""
+    """All documents as lines of text files, which are scanned by ranges."""
     path = Scratch(spark, "bodies").path("text")
-    table(spark, root, "documents").select(F.coalesce("text", F.lit("")).alias("value")).coalesce(4).write.text(path)
+    table(spark, root, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
     return text.body_markers(ranges.read_pieces(spark, path, RANGE_BYTES, PIECE_BYTES)).select("family", "hits")
 
 
