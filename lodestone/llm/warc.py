@@ -139,6 +139,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     join = "broadcast" if again.count() * 32 <= BROADCAST_BYTES else "merge"
     records = numbered.join(again.hint(join), "row", "left").mapInArrow(_writer(segment_bytes), "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    scratch.drop(numbered, again)
 
 
 def _inflated(archive: bytes) -> Iterator[bytes]:
