@@ -107,34 +107,41 @@ def marginals(emit: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: np.
     expected moves, the order of texts, and the log-likelihood's normaliser.
     """
     order = np.argsort(-sizes, kind="stable")
-    first = (np.cumsum(sizes) - sizes)[order]
     length = sizes[order]
     alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
+    ends = np.cumsum(alive)
+    heads = ends - alive
+    # Words lie by step, and within one by text: step t of all texts is one run of rows.
+    text = np.repeat(np.arange(len(length)), length)
+    step = np.arange(len(emit)) - np.repeat(np.cumsum(length) - length, length)
+    place = np.empty(len(emit), np.int64)
+    place[heads[step] + text] = np.repeat((np.cumsum(sizes) - sizes)[order], length) + step
     top = emit.max(1, keepdims=True)
-    node, edge = np.exp(emit - top), np.exp(moves)
+    node, edge = np.exp(emit - top)[place], np.exp(moves)
     forward = np.empty_like(node)
-    scale = np.empty(len(node))
+    scale, ones = np.empty((len(node), 1)), np.ones((node.shape[1], 1))  # products with ones are the fastest sums of short rows
     state = np.exp(start)[None, :]
-    for t, n in enumerate(alive.tolist()):
-        at = first[:n] + t
-        state = (state[:n] @ edge if t else np.repeat(state, n, 0)) * node[at]
-        total = state.sum(1)
-        state /= total[:, None]
-        forward[at], scale[at] = state, total
+    for t, (a, b) in enumerate(zip(heads.tolist(), ends.tolist(), strict=True)):
+        state = (state[: b - a] @ edge if t else np.repeat(state, b - a, 0)) * node[a:b]
+        np.matmul(state, ones, out=scale[a:b])
+        state /= scale[a:b]
+        forward[a:b] = state
     expected = np.zeros_like(edge)
-    out = np.empty_like(node)
+    by_step = np.empty_like(node)
     back = np.ones((0, node.shape[1]))
     for t in range(len(alive) - 1, -1, -1):
-        n = int(alive[t])
-        at = first[:n] + t
-        if len(back) < n:
-            back = np.concatenate([back, np.ones((n - len(back), node.shape[1]))])
-        out[at] = forward[at] * back
+        a, b = int(heads[t]), int(ends[t])
+        if len(back) < b - a:
+            back = np.concatenate([back, np.ones((b - a - len(back), node.shape[1]))])
+        np.multiply(forward[a:b], back, out=by_step[a:b])
         if t:
-            ahead = node[at] * back / scale[at][:, None]
-            expected += forward[at - 1].T @ ahead * edge
+            ahead = node[a:b] * back / scale[a:b]
+            before = int(heads[t - 1])
+            expected += forward[before : before + b - a].T @ ahead * edge
             back = ahead @ edge.T
-    out /= out.sum(1, keepdims=True)
+    by_step /= by_step @ ones
+    out = np.empty_like(by_step)
+    out[place] = by_step
     return out, expected, order, float(np.log(scale).sum() + top.sum())
 
 
@@ -177,9 +184,8 @@ def train(blocks: list[tuple[str, list[str]]], steps: int = STEPS, seed: int = 7
     for step in range(1, steps + 1):
         emit = np.add.reduceat(weights[at], first[:-1])[token]
         p, expected, _, _ = marginals(emit, sizes, moves, model.start)
-        rest = one_hot - p
-        by_word = np.stack([np.bincount(token, rest[:, c], len(words)) for c in range(k)], 1)
-        slope = np.stack([np.bincount(at, by_word[owner, c], len(used)) for c in range(k)], 1) / n - 1e-6 * weights
+        by_word = [np.bincount(token, rest, len(words)) for rest in np.ascontiguousarray((one_hot - p).T)]
+        slope = np.stack([np.bincount(at, x[owner], len(used)) for x in by_word], 1) / n - 1e-6 * weights
         for x, g, (m, v), rate in ((weights, slope, memory[0], 0.3), (moves, (seen - expected) / n, memory[1], 0.2)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
