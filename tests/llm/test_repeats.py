@@ -73,6 +73,18 @@ def test_crowded_anchor(spark, monkeypatch, crowd):
     assert digest(R.remove(spark.createDataFrame(docs, "doc_id long, text string"), 40, 8)) == brute(docs, 40)
 
 
+@pytest.mark.parametrize("size", [399, 400, 401])
+def test_passage_of_over_50_words(spark, size):
+    """A passage in two documents goes if it has 400 bytes, however many words; ``n_bytes`` stays the length of the input."""
+    rng = random.Random(size)
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = " ".join(say(6) for _ in range(57)) + say(size - 398)
+    assert len(passage.split()) > 50 and len(passage) == size
+    docs = [(1, "x" + say(80) + "q" + passage + "r"), (2, "y" + passage + "s" + say(200)), (3, " ".join(say(6) for _ in range(80)))]
+    got = digest(R.remove(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert [r[:3] for r in got] == [(d, len(t), size if size >= 400 and d < 3 else 0) for d, t in docs] and got == brute(docs, 400)
+
+
 def test_small_batches(spark):
     """Groups of runs that go over many batches."""
     rng = random.Random(9)
